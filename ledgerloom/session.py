@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from ledgerloom.shipping import ship
+
 
 def session(master: str | None = None, app: str = "ledgerloom", partitions: int | None = None) -> SparkSession:
     """Adaptive execution on (coalescing and skew joins), UTC, Arrow on; ``partitions`` only where the caller knows the size."""
@@ -20,4 +22,4 @@ def session(master: str | None = None, app: str = "ledgerloom", partitions: int
         builder = builder.master(master)
     if partitions:
         conf["spark.sql.shuffle.partitions"] = str(partitions)
-    return builder.config(map=conf).getOrCreate()
+    return ship(builder.config(map=conf).getOrCreate())
