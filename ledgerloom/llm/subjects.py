@@ -77,9 +77,11 @@ class Model:
         out = np.full(len(texts), -1)
         on = np.flatnonzero(count)
         if len(on) and len(self.label):
-            flat = np.array([v for x in ids for v in x])
-            starts = (np.cumsum(count) - count)[on]
-            out[on] = self.label[np.add.reduceat(self.scores[flat], starts, axis=0).argmax(1)]
+            for a in range(0, len(on), 2000):  # scores are as wide as there are leaves
+                part = on[a : a + 2000]
+                flat = np.array([v for i in part for v in ids[i]])
+                starts = np.cumsum(count[part]) - count[part]
+                out[part] = self.label[np.add.reduceat(self.scores[flat], starts, axis=0).argmax(1)]
         return out
 
 
