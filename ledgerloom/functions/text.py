@@ -41,7 +41,7 @@ def tokens(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Split after a terminal mark before a capital, figure or rupee sign; blanks dropped."""
     parts = F.split(F.trim(text), "(?U)(?<=[.!?])\\s+(?=[A-Z0-9₹])")
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def strip_urls(text: Column) -> Column:

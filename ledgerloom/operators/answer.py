@@ -12,6 +12,7 @@ from ledgerloom.config import EngineConfig
 from ledgerloom.functions import rules
 from ledgerloom.functions.text import ascii_citations, cap_sentences, citations, grounded, sentences, strip_references, strip_urls, tidy_tail
 from ledgerloom.operators import memory, retrieve
+from ledgerloom.storage import settle
 
 # Fixed value: what stands before the title in the last line of an answer.
 FOOTER = "Last updated from sources:"
@@ -66,9 +67,10 @@ def answer(questions: DataFrame, chunks: DataFrame, sources: DataFrame, embed, c
     draft is extractive.  A null question is a blank one.
     """
     q = questions.select(F.col("qid").cast("string").alias("qid"), F.trim(F.coalesce("question", F.lit(""))).alias("question"), F.col("history"))
-    q = q.withColumn("d", rules.screen(F.col("question")))
+    q = settle(q.withColumn("d", rules.screen(F.col("question"))), "screened")
     refused = q.where("not d.ok").select("qid", "d", F.lit("").alias("rewritten"))
     again = memory.rewrite(q.where("d.ok").drop("d"), rewriter).withColumn("d", rules.screen(F.col("rewritten")))
+    again = settle(again, "rewritten")
     refused = refused.unionByName(again.where("not d.ok").select("qid", "d", F.lit("").alias("rewritten")))
     amc = sources.groupBy("scheme").agg(F.min_by("url", F.struct(F.col("doc_id").cast("long"), "doc_id")).alias("link_url"))
     ask = retrieve.pinned(again.where("d.ok").select("qid", F.col("rewritten").alias("question"), (F.col("rewritten") != F.col("question")).alias("changed")), sources)
@@ -76,6 +78,7 @@ def answer(questions: DataFrame, chunks: DataFrame, sources: DataFrame, embed, c
     facts = chunks.select("chunk_index", "scheme", "title", "section", "url", "text")
     found = hits.join(facts, "chunk_index").groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("pos", "scheme", "title", "section", "url", "text"))).alias("chunks"))
     none = "array<struct<pos:int,scheme:string,title:string,section:string,url:string,text:string>>"
+    ask = settle(ask, "open")
     rows = ask.select("qid", "question", "narrowed_by", "changed").join(outcome.select("qid", "below_floor"), "qid").join(found, "qid", "left").withColumn("chunks", F.coalesce("chunks", F.array().cast(none)))
     open_rows = rows.where("not below_floor and size(chunks) > 0")
     if generator is None:
@@ -83,6 +86,7 @@ def answer(questions: DataFrame, chunks: DataFrame, sources: DataFrame, embed, c
     else:
         messages = F.array(F.struct(F.lit("user").alias("role"), F.concat(F.lit("Context:\n\n"), context_block(F.col("chunks")), F.lit("\n\nQuestion: "), "question").alias("content")))
         drafts = memory.call_model(open_rows.withColumn("_m", messages), "_m", "draft", generator).drop("_m")
+    drafts = settle(drafts, "drafts")
     done = finalise(drafts.withColumn("draft", F.trim(ascii_citations(F.coalesce("draft", F.lit(""))))), config)
     columns = ["qid", "status", "message", "link_url", "rule", "narrowed_by", "rewritten", "n_chunks"]
     kept = F.when(F.col("changed"), F.col("question")).otherwise("")

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from pathlib import Path
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.config import EngineConfig
-from ledgerloom.functions.text import tokens
+from ledgerloom.functions.text import STOP
 
 
 class Embedder(Protocol):
@@ -81,12 +83,19 @@ def embed(df: DataFrame, text: str, embedder: Embedder) -> DataFrame:
     return df.mapInPandas(run, f"struct<{out}>")
 
 
-def hashed(text: Column, dim: int = 384) -> Column:
-    """A deterministic stand-in without a model: counts of hashed tokens, normalised; all zero for no tokens.  Stays in the JVM."""
-    slots = F.transform(tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dim)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
+class HashedEmbedder:
+    """A deterministic stand-in without a model: counts of hashed tokens, normalised; all zero for no tokens."""
+
+    def __init__(self, dim: int = 384):
+        self.dim = dim
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        stop, out = frozenset(STOP), np.zeros((len(texts), self.dim), np.float32)
+        for i, text in enumerate(texts):
+            for t in re.findall("[a-z0-9]+", text.lower()):
+                if len(t) > 1 and t not in stop:
+                    out[i, xxhash.xxh64_intdigest(t, 42) % self.dim] += 1
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
 def norm(vector: Column) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ledgerloom.config import EngineConfig
 from ledgerloom.functions.rules import target
 from ledgerloom.operators import lexical
+from ledgerloom.storage import settle
 
 BATCH = 4096
 
@@ -143,8 +144,10 @@ def retrieve(chunks: DataFrame, queries: DataFrame, config: EngineConfig = Engin
     """
     k = k or config.top_k
     wide = k * config.dense_candidates
-    asked = queries.withColumn("qid", F.col("qid").cast("string")).where(F.trim(F.coalesce("question", F.lit(""))) != "")
-    dense = dense_top(chunks, asked, wide)
+    # written once: questions, and what each arm has for them; all further steps work on these few rows
+    queries = settle(queries.withColumn("qid", F.col("qid").cast("string")), "questions")
+    asked = queries.where(F.trim(F.coalesce("question", F.lit(""))) != "")
+    dense = settle(dense_top(chunks, asked, wide), "dense")
     scored = lexical.scores(lexical.index(chunks, "chunk_index", "text"), lexical.query_terms(asked, "qid", "question"), config).select("qid", "key", F.round("score", 6).alias("lexical_score"))
     shape = dense.groupBy("qid").agg(F.max("dense_score").alias("best"), F.count(F.lit(1)).alias("n"))
     info = asked.select("qid", F.col("doc_id").alias("pin")).join(shape, "qid", "left")
@@ -155,7 +158,7 @@ def retrieve(chunks: DataFrame, queries: DataFrame, config: EngineConfig = Engin
     plain = dense.join(plan.where("strategy = 'dense'"), "qid").select("qid", "key", "dense_score", "dense_rank", F.lit(0.0).alias("lexical_score"), F.lit(0).alias("lexical_rank"), F.col("dense_score").alias("score"), F.col("dense_rank").alias("tie"))
     mine = dense.join(plan.where("strategy = 'pinned'").select("qid"), "qid")
     local = ranked(mine.select("qid", "key").join(scored, ["qid", "key"], "left").withColumn("lexical_score", F.coalesce("lexical_score", F.lit(0.0))), "lexical_score", "lexical_rank")
-    best_lex = ranked(scored, "lexical_score", "lexical_rank").where(F.col("lexical_rank") <= wide)
+    best_lex = settle(ranked(scored, "lexical_score", "lexical_rank").where(F.col("lexical_rank") <= wide), "lexical")
     only = best_lex.join(plan.where("strategy = 'lexical'").select("qid"), "qid").select("qid", "key", F.lit(0.0).alias("dense_score"), F.lit(0).alias("dense_rank"), "lexical_score", "lexical_rank", F.col("lexical_score").alias("score"), F.col("lexical_rank").alias("tie"))
     both = plan.where("strategy = 'hybrid'").select("qid")
     fused = fuse(mine, local, config).unionByName(fuse(dense.join(both, "qid"), best_lex.join(both, "qid"), config))
@@ -170,5 +173,5 @@ def retrieve(chunks: DataFrame, queries: DataFrame, config: EngineConfig = Engin
     rescued = (score_a >= config.rescue_min_score) & ((score_a >= config.rescue_ratio * score_b) | F.coalesce(F.col("a.doc_id") == F.col("b.doc_id"), F.lit(False)))
     low = F.coalesce("best", F.lit(-1.0)) < config.min_score
     outcome = info.join(pair, "qid", "left").withColumn("floor_applied", F.col("pin").isNull()).withColumn("below_floor", F.col("floor_applied") & low & ~F.coalesce(rescued, F.lit(False)))
-    blank = queries.withColumn("qid", F.col("qid").cast("string")).where(F.trim(F.coalesce("question", F.lit(""))) == "").select("qid", F.lit(None).cast("string").alias("pin"), F.lit("none").alias("strategy"), F.lit(True).alias("floor_applied"), F.lit(True).alias("below_floor"))
+    blank = queries.where(F.trim(F.coalesce("question", F.lit(""))) == "").select("qid", F.lit(None).cast("string").alias("pin"), F.lit("none").alias("strategy"), F.lit(True).alias("floor_applied"), F.lit(True).alias("below_floor"))
     return hits.withColumnRenamed("key", "chunk_index"), outcome.select("qid", "pin", "strategy", "floor_applied", "below_floor").unionByName(blank)

@@ -134,7 +134,7 @@ def sql() -> dict[str, str]:
         "chunks_per_document": "SELECT doc_id, count(*) AS chunks, sum(n_words)::BIGINT AS words FROM chunks GROUP BY doc_id",
         "sections_per_page": f"SELECT doc_id, count(*) AS sections, count(*) FILTER (kept) AS kept, sum(CASE WHEN kept THEN len({words('concat_ws(chr(32), text, array_to_string(tables, chr(32)))')}) ELSE 0 END)::BIGINT AS words FROM (SELECT DISTINCT * FROM sections) GROUP BY doc_id",
         "dropped_sections": "SELECT scheme, array_to_string(list_sort(list(DISTINCT heading) FILTER (heading IS NOT NULL)), '; ') AS headings FROM sections JOIN sources USING (doc_id) WHERE NOT kept GROUP BY scheme",
-        "dump_lines": "SELECT doc_id, '[' || lpad(chunk_index::VARCHAR, greatest(3, length(chunk_index::VARCHAR))::INTEGER, '0') || '] ' || coalesce(scheme, '') || ' | ' || coalesce(section, '') || ' | ' || substr(text, 1, 110) AS line FROM chunks",
+        "dump_lines": "SELECT doc_id, chunk_index, '[' || lpad(chunk_index::VARCHAR, greatest(3, length(chunk_index::VARCHAR))::INTEGER, '0') || '] ' || coalesce(scheme, '') || ' | ' || coalesce(section, '') || ' | ' || substr(text, 1, 110) AS line FROM chunks",
         "section_rules": f"""
 WITH s AS (SELECT DISTINCT doc_id, sec_ord, heading, text, tables, coalesce({drop}, false) AS gone FROM sections),
 good AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: x <> '' AND NOT regexp_matches(x, {quoted(rules.JUNK_LINE)}) AND NOT regexp_matches(x, {quoted(rules.DROP_LINE)})) AS ls FROM s),

@@ -14,6 +14,7 @@ from ledgerloom.operators import chunk, embed, evaluate, extract, lexical, memor
 from ledgerloom.plans import oracle
 from ledgerloom.shipping import ship
 from ledgerloom.sources import registry as sources
+from ledgerloom.storage import settle
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -319,9 +320,12 @@ def recall_metrics(spark: SparkSession, at: str) -> DataFrame:
 @query
 def answers(spark: SparkSession, at: str) -> DataFrame:
     """Extractive answers to all held-out questions, over all chunks."""
-    chunks = read(spark, at, "chunks").select("chunk_index", "doc_id", "scheme", "title", "section", "url", "text").withColumn("embedding", embed.hashed(F.col("text"), 64))
+    model = embed.HashedEmbedder()
+    columns = ["chunk_index", "doc_id", "scheme", "title", "section", "url", "text"]
+    # the vectors are used twice
+    chunks = settle(embed.embed(read(spark, at, "chunks").select(columns), "text", model), "vectors")
     asked = read(spark, at, "in_scope").select(F.col("id").alias("qid"), "question", F.array().cast("array<struct<role:string,content:string>>").alias("history"))
-    out = answering.answer(asked, chunks, read(spark, at, "sources"), lambda df, c: df.withColumn("embedding", embed.hashed(F.col(c), 64)), EngineConfig(embed_dim=64))
+    out = answering.answer(asked, chunks, read(spark, at, "sources"), lambda df, c: embed.embed(df, c, model))
     return out.select("qid", "status", "rule", "narrowed_by", "link_url", "n_chunks")
 
 
