@@ -280,13 +280,10 @@ def differences(parsed: DataFrame, diff: Diff = Diff()) -> DataFrame:
                 if (doc, line) == last:
                     continue  # landed again
                 last = doc, line
-                seen = set()
                 for f, x, y in zip(flags, line, form, strict=True):
-                    kind, key = ("head", x) if f & HEADING else ("form", y)
-                    if (kind, key) not in seen:
-                        seen.add((kind, key))
-                        n[kind, key] += 1
-                        hits[kind, key] += not f & INSIDE
+                    kind = ("head", x) if f & HEADING else ("form", y)
+                    n[kind] += 1
+                    hits[kind] += not f & INSIDE
                 mine = set(line)
                 near = [p for p in near if p[0] == site and p[1] != doc][-diff.reach :]
                 for _, _, other, theirs in near:

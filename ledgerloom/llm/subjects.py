@@ -174,10 +174,10 @@ def fit(labelled: list[tuple[str, list[str]]], described: list[tuple[str, str]],
         label = np.where((lift.max(1) >= 0.5) & (votes.sum(1) > 0), lift.argmax(1), -1)
         # a sentence is about what its leaf says, weighed by what its document's labels allow: a label may be wrong or missing
         belief = np.zeros_like(soft)
-        at = np.flatnonzero(on & (label[leaf] >= 0))
+        at = np.flatnonzero(np.append(label, -1)[leaf] >= 0)  # leaf -1: no term known
         belief[at] = lift[leaf[at]] * (given[at] + mix.unlabelled)
         belief[at] /= belief[at].sum(1, keepdims=True)
-        soft = belief * np.where(lift[leaf].max(1) >= 0.5, 1.0, 0.0)[:, None]
+        soft = belief
         if soft.sum() == 0:
             break
     top = [[sorted(vocabulary, key=lambda t: -centre[k, vocabulary[t]])[j] for j in range(min(5, len(vocabulary)))] for k in range(n)]
