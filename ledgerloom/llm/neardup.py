@@ -33,7 +33,7 @@ from ledgerloom.storage import settle
 
 TOKEN = re.compile("[a-z0-9]+")
 PARTS = 32
-WORDS = 3  # 64-bit words of a bit vector
+WORDS = 8  # 64-bit words of a bit vector: telling for sets of up to some 500 shingles
 _SIZE, _SIDE = 16, 2  # low bits of a block id: set size, side of a pair of tiles
 WHOLE, LEFT, RIGHT = 2, 0, 1
 
