@@ -44,6 +44,7 @@ NUMBER = re.compile(r"(?:(?:\bRs\.?|\bINR|[₹$€£]) ?)?\d(?:[\d,.]*\d)?")
 NAMES = re.compile(r"[A-Z][A-Za-z]*(?:\s*[-–&]\s*[A-Z][A-Za-z]*|\s+[A-Z][A-Za-z]*)*")
 DIGIT = re.compile(r"\d")
 WHITE = re.compile(f"[{SPACE}]+")
+SPACES = "".join(c for c in map(chr, range(0x3001)) if WHITE.match(c))
 # What a line that names a page's author looks like.
 BYLINE = re.compile(r"^(?:(?i:(?:written |posted |reported |reviewed )?by) [A-Z]\w+(?: [A-Z]\w+)+ *(?:[|,·-]|$)|[A-Z]\w+(?: [A-Z]\w+)* for the \w+, (?:updated|written|published)\b)")
 
@@ -347,7 +348,8 @@ def main_bodies(pages: DataFrame, sources: DataFrame, diff: Diff = Diff()) -> Bo
 def section_lines(sections: DataFrame) -> DataFrame:
     """(doc_id, sec_ord, ln, line, text) of the lines that aren't blank; ``text`` as a hash, white space squeezed."""
     lines = sections.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "sec_ord", "site", F.posexplode(F.split("text", "\n", -1)).alias("ln", "raw"))
-    squeezed = F.trim(F.regexp_replace("raw", f"[{SPACE}]+", " "))
+    flat = F.translate("raw", SPACES, " " * len(SPACES))
+    squeezed = F.trim(F.when(F.contains(flat, F.lit("  ")), F.regexp_replace(flat, " +", " ")).otherwise(flat))
     return lines.withColumn("line", squeezed).where(F.col("line") != "").withColumn("text", F.xxhash64("line"))
 
 
@@ -357,11 +359,12 @@ def main_lines(sections: DataFrame, bodies: Bodies) -> DataFrame:
     A line is kept if its page keeps a block with that text.  A line that its page doesn't have, or whose page is
     missing, is judged by its forms alone.
     """
-    lines = section_lines(sections)
-    kept = bodies.blocks.select("doc_id", "text").distinct()
-    there = lines.join(kept, ["doc_id", "text"], "left_semi").select("doc_id", "sec_ord", "ln")
-    known = bodies.parsed.select("doc_id", F.explode("text").alias("text")).distinct()
-    loose = lines.join(known, ["doc_id", "text"], "left_anti")
+    state = bodies.parsed.select("doc_id", F.explode("text").alias("text"), F.lit(False).alias("kept")).unionByName(bodies.blocks.select("doc_id", "text", F.lit(True).alias("kept")))
+    state = state.groupBy("doc_id", "text").agg(F.max("kept").alias("kept"))
+    # the text of a line goes on only where its page doesn't have it
+    lines = section_lines(sections).join(state, ["doc_id", "text"], "left").where(F.coalesce("kept", F.lit(True)))
+    lines = settle(lines.select("doc_id", "sec_ord", "ln", F.when(F.col("kept").isNull(), F.col("line")).alias("line"), "site", "kept"), "lines")
+    there, loose = lines.where("kept").select("doc_id", "sec_ord", "ln"), lines.where("kept is null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
