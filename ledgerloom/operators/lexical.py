@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.config import EngineConfig
 from ledgerloom.functions.text import tokens
+from ledgerloom.storage import settle
 
 
 @dataclass(frozen=True)
@@ -21,10 +22,18 @@ class Index:
 
 
 def index(docs: DataFrame, key: str, text: str) -> Index:
-    """An index of ``docs``.  Texts without tokens and null texts count as documents of length 0; null keys are left out."""
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("ts"))
-    postings = rows.select("key", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("key", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    return Index(postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("ts")).alias("avgdl")))
+    """An index of ``docs``.  Texts without tokens and null texts count as documents of length 0; null keys are left out.
+
+    The postings are written once; frequencies and lengths come from them, so each text is tokenised once.
+    """
+    rows = docs.where(F.col(key).isNotNull())
+    ts = rows.select(F.col(key).alias("key"), tokens(F.col(text)).alias("ts"))
+    # outer, lest the optimizer tokenise every text a second time to see whether it has tokens
+    terms = ts.select("key", F.size("ts").alias("dl"), F.explode_outer("ts").alias("term")).where("term is not null")
+    postings = settle(terms.groupBy("key", "term", "dl").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    total = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+    stats = rows.agg(F.count(F.lit(1)).alias("n")).crossJoin(total)  # one row each
+    return Index(postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats.select("n", F.when(F.col("n") > 0, F.col("total") / F.col("n")).alias("avgdl")))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -33,7 +42,7 @@ def idf(n: Column, df: Column) -> Column:
 
 def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
     """(qid, term, qtf): a repeated word of a question counts each time."""
-    return queries.select(F.col(key).alias("qid"), F.explode(tokens(F.col(text))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    return queries.select(F.col(key).alias("qid"), F.explode_outer(tokens(F.col(text))).alias("term")).where("term is not null").groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
 def scores(idx: Index, terms: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
