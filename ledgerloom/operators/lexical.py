@@ -11,6 +11,8 @@ from ledgerloom.config import EngineConfig
 from ledgerloom.functions.text import tokens
 from ledgerloom.storage import settle
 
+BROADCAST_TERMS = 100_000  # rows of question terms, some 50 bytes each
+
 
 @dataclass(frozen=True)
 class Index:
@@ -55,7 +57,10 @@ def scores(idx: Index, terms: DataFrame, config: EngineConfig = EngineConfig())
     weighed = weighed.select("qid", "term", "avgdl", (F.col("qtf") * idf(F.col("n"), F.col("df"))).alias("w"))
     k1, b = config.bm25_k1, config.bm25_b
     saturated = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.coalesce(F.nullif("avgdl", F.lit(0.0)), F.lit(1.0))))
-    return idx.postings.join(weighed, "term").groupBy("qid", "key").agg(F.sum(F.col("w") * saturated).alias("score"))
+    # each posting meets every question with its term, so the postings stay where they are while the questions are few
+    weighed = settle(weighed, "weighed")
+    side = F.broadcast(weighed) if weighed.count() <= BROADCAST_TERMS else weighed
+    return idx.postings.join(side, "term").groupBy("qid", "key").agg(F.sum(F.col("w") * saturated).alias("score"))
 
 
 def top(scored: DataFrame, k: int, digits: int = 6) -> DataFrame:
