@@ -193,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame, mix: Mix = Mi
     names = [s for s, _ in known]
     given = labels.where(F.col("subject").isin(names) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
     chosen = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(mix.sample_docs)
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(chosen, "doc_id").select("doc_id", F.substring("text", 1, 20_000).alias("text"), "subjects").toPandas().sort_values("doc_id", kind="stable")
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "subjects").toPandas().sort_values("doc_id", kind="stable")
     return fit([(t, sorted(s)) for t, s in zip(rows["text"], rows["subjects"], strict=True)], sorted(known), mix)
 
 
