@@ -102,6 +102,13 @@ ranked AS (
 hits AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, tie, key) AS pos FROM ranked)"""
 
 
+PAIRED = """
+WITH vec AS (SELECT vec_id, count(*) OVER () AS nv, label::VARCHAR AS doc_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+chunk_texts AS (SELECT coalesce(d.doc_id - 1, v.vec_id) AS key, v.doc_id, v.e, d.text FROM vec v LEFT JOIN documents d ON (d.doc_id - 1) % v.nv = v.vec_id),
+base AS (SELECT i.id AS key, i.question, v.e, v.doc_id AS label FROM in_scope i JOIN vec v ON (i.id - 1) % v.nv = v.vec_id),
+asked AS (""" + HYBRID.partition("\nasked AS (")[2]
+
+
 def windows(source: str, size: int, overlap: int) -> str:
     """Rows of ``source`` (with a list ``ws``) by window: ``win`` and ``part``."""
     stride = size - overlap
@@ -127,6 +134,8 @@ def sql() -> dict[str, str]:
         "vector_preview": "SELECT vec_id AS chunk_index, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 6) AS square, round(embedding[1]::DOUBLE, 6) AS first, round(list_min(embedding)::DOUBLE, 6) AS least, round(list_max(embedding)::DOUBLE, 6) AS largest FROM embeddings ORDER BY vec_id LIMIT 5",
         "hybrid_retrieve": f"{HYBRID} SELECT qid, pos::INTEGER AS pos, key AS chunk_index, strategy, round(score, 6) AS score, dense_rank::INTEGER AS dense_rank, lexical_rank::INTEGER AS lexical_rank FROM hits JOIN info USING (qid) WHERE pos <= 5",
         "floor_rescue": f"{HYBRID}, two AS (SELECT l.qid, max(CASE WHEN lexical_rank = 1 THEN lexical_score END) AS s1, max(CASE WHEN lexical_rank = 2 THEN lexical_score END) AS s2, max(CASE WHEN lexical_rank = 1 THEN doc_id END) AS d1, max(CASE WHEN lexical_rank = 2 THEN doc_id END) AS d2 FROM lex l JOIN chunk_texts c USING (key) WHERE lexical_rank <= 2 GROUP BY l.qid) SELECT qid, strategy, pin IS NULL AS floor_applied, pin IS NULL AND coalesce(best, -1) < 0.2 AND NOT coalesce(s1 >= 3 AND (s1 >= 1.4 * coalesce(s2, 0) OR coalesce(d1 = d2, false)), false) AS below_floor FROM info LEFT JOIN two USING (qid)",
+        "hybrid_retrieve_all": f"{PAIRED} SELECT qid, pos::INTEGER AS pos, key AS chunk_index, strategy, round(score, 6) AS score, dense_rank::INTEGER AS dense_rank, lexical_rank::INTEGER AS lexical_rank FROM hits JOIN info USING (qid) WHERE pos <= 5",
+        "floor_rescue_all": f"{PAIRED}, two AS (SELECT l.qid, max(CASE WHEN lexical_rank = 1 THEN lexical_score END) AS s1, max(CASE WHEN lexical_rank = 2 THEN lexical_score END) AS s2, max(CASE WHEN lexical_rank = 1 THEN doc_id END) AS d1, max(CASE WHEN lexical_rank = 2 THEN doc_id END) AS d2 FROM lex l JOIN chunk_texts c USING (key) WHERE lexical_rank <= 2 GROUP BY l.qid) SELECT qid, strategy, pin IS NULL AS floor_applied, pin IS NULL AND coalesce(best, -1) < 0.2 AND NOT coalesce(s1 >= 3 AND (s1 >= 1.4 * coalesce(s2, 0) OR coalesce(d1 = d2, false)), false) AS below_floor FROM info LEFT JOIN two USING (qid)",
         "word_windows": f"SELECT doc_id, win, len(part)::INTEGER AS n_words, md5(array_to_string(part, ' ')) AS digest FROM {windows(f'(SELECT doc_id, {words("text")} AS ws FROM documents WHERE text IS NOT NULL)', CONFIG.chunk_size, CONFIG.chunk_overlap)}",
         "section_windows": f"SELECT w.doc_id, sec_ord, win, md5(array_to_string(part, ' ')) AS digest FROM {windows(f'(SELECT DISTINCT s.doc_id, sec_ord, {words("concat_ws(chr(32), s.text, array_to_string(s.tables, chr(10)))")} AS ws FROM sections s WHERE kept)', CONFIG.chunk_size, CONFIG.chunk_overlap)} w JOIN sources USING (doc_id)",
         "chunks_per_scheme": "SELECT coalesce(scheme, '') AS scheme, count(*) AS n FROM chunks GROUP BY ALL UNION ALL SELECT 'TOTAL', count(*) FROM chunks",
