@@ -58,10 +58,11 @@ def _matrix(column: pa.Array, dtype: type, width: int) -> np.ndarray:
 
 
 def usable(df: DataFrame, row_id: str, item: str, vector: str, stamp: str, graphs: Graphs = Graphs()) -> DataFrame:
-    """(item, row_id, stamp, code, same): usable vectors, one for each row id, encoded.
+    """(item, code, same): usable vectors, one for each row id, encoded.
 
     A vector is usable if it has ``dim`` finite elements, not all of them zero.  Of several usable ones with one id
-    the last ingested counts, a null stamp being the oldest; of those the largest code.  Null ids or items are left out.
+    the last ingested counts, a null stamp being the oldest; of those the largest code; of identical rows, as a repeated
+    batch leaves them, any one.  Null ids or items are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,8 +77,9 @@ def usable(df: DataFrame, row_id: str, item: str, vector: str, stamp: str, graph
 
     rows = df.where(F.col(row_id).isNotNull() & F.col(item).isNotNull() & F.col(vector).isNotNull())
     rows = rows.select(F.col(item).cast("long").alias("item"), F.col(row_id).cast("string").alias("row_id"), F.col(stamp).cast("string").alias("stamp"), F.col(vector).alias("v"))
-    coded = settle(rows.mapInArrow(run, "item long, row_id string, stamp string, code binary").withColumn("same", F.xxhash64("code")), "codes")
-    version = F.struct(F.coalesce("stamp", F.lit("")).alias("s"), F.col("same"), F.col("item"))
+    coded = settle(rows.mapInArrow(run, "item long, row_id string, stamp string, code binary").withColumns({"same": F.xxhash64("code"), "copy": F.monotonically_increasing_id()}), "codes")
+    # written once, so ``copy`` stays the same and tells identical rows apart
+    version = F.struct(F.coalesce("stamp", F.lit("")).alias("s"), F.col("same"), F.col("item"), F.col("copy"))
     last = coded.groupBy("row_id").agg(F.max(version).alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").select("row_id", "last")
     # few ids come again; the join moves codes only if Spark finds their side too large to send
     return coded.join(last, "row_id", "left").where(F.col("last").isNull() | (F.col("last") == version)).select("item", "code", "same")
@@ -286,6 +288,6 @@ def nearest(df: DataFrame, row_id: str, item: str, vector: str, stamp: str, grap
     first = settle(ranked.select("item", "same", "r"), "crowds")
     crowded = vectors.select("item", "same").join(first.select(F.col("item").alias("other"), "same"), "same").where("item != other").select("item", "other", F.lit(1.0).alias("similarity"))
     alone = vectors.join(crowds, "same", "left_anti").select("item", "code").unionByName(vectors.join(first.select("item"), "item", "left_semi").select("item", "code"))
-    answers = _answers(_route(alone if not first.isEmpty() else vectors, centre, subs, graphs), graphs).unionByName(crowded)
+    answers = _answers(_route(alone if not first.isEmpty() else vectors, centre, subs, graphs), graphs).where("item != other").unionByName(crowded)
     best = Window.partitionBy("item").orderBy(F.desc("similarity"), "other")
     return answers.dropDuplicates(["item", "other"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
