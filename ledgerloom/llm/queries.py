@@ -110,13 +110,13 @@ def p6_bins(spark: SparkSession, at: str) -> DataFrame:
     return out.withColumn("fill", F.round(F.col("tokens") / (F.col("bins") * packing.Limits().tokens), 6))
 
 
-def _leaks(spark: SparkSession, at: str) -> DataFrame:
-    return leakage.leaks(_read(spark, at, "documents"), _read(spark, at, "in_scope"))
+def _leaks(spark: SparkSession, at: str, exchanged: bool = True) -> DataFrame:
+    return leakage.leaks(_read(spark, at, "documents"), _read(spark, at, "in_scope"), exchanged=exchanged)
 
 
 def p7_found(spark: SparkSession, at: str) -> DataFrame:
     """Documents and the items that they hold word for word."""
-    return _leaks(spark, at).where("literal").select("doc_id", "item_id").distinct()
+    return _leaks(spark, at, exchanged=False).where("literal").select("doc_id", "item_id").distinct()
 
 
 def p7_leaks(spark: SparkSession, at: str) -> DataFrame:
