@@ -39,11 +39,39 @@ def per_document(chunks: DataFrame) -> DataFrame:
 
 
 def dump(chunks: DataFrame) -> DataFrame:
-    """(doc_id, ord, line): one line a chunk to be written in order."""
+    """(doc_id, chunk_index, line): one line a chunk in order, a preview with the first 110 characters; ``review`` has the whole texts."""
     line = F.format_string("[%03d] %s | %s | %s", "chunk_index", F.coalesce("scheme", F.lit("")), F.coalesce("section", F.lit("")), F.substring("text", 1, 110))
     return chunks.select("doc_id", "chunk_index", line.alias("line")).orderBy(F.col("doc_id").cast("long"), "chunk_index")
 
 
+def review(chunks: DataFrame, sections: DataFrame, sources: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """(part, scheme, doc_id, chunk_index, entry): the review dump, in the order in which it is written.
+
+    Part 0 has the figures, part 1 the dropped sections by scheme with their reasons, part 2 for each document its source
+    (with no chunk_index) and its chunks with sizes, warnings and every line of their text.  Nulls are empty.
+    """
+    found = sections.select("doc_id", "sec_ord", "heading", "kept", "reason").distinct()
+    of = lambda name: F.coalesce(name, F.lit(""))
+    none = lambda kind: F.lit(None).cast(kind)
+    n = chunks.agg(F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("words"), F.coalesce(F.expr("sum(n_words) div count(n_words)"), F.lit(0)).alias("mean"), F.coalesce(F.min("n_words"), F.lit(0)).alias("least"), F.coalesce(F.max("n_words"), F.lit(0)).alias("most"))
+    m = found.agg(F.count(F.lit(1)).alias("sections"), F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("dropped"))
+    figures = F.format_string(
+        f"Parameters   CHUNK_SIZE={config.chunk_size} words  CHUNK_OVERLAP={config.chunk_overlap} words  MIN_SIZE={config.min_size} words\nChunks       %d\nWords        %,d total, %d mean per chunk\nRange        %d - %d words\nSections     %d found, %d kept, %d dropped",
+        "chunks", "words", "mean", "least", "most", "sections", "kept", "dropped",
+    )
+    head = n.crossJoin(m).select(F.lit(0).alias("part"), none("string").alias("scheme"), none("string").alias("doc_id"), none("int").alias("chunk_index"), figures.alias("entry"))
+    dropped_line = F.format_string("  [%s] %s  -> %s", of("doc_id"), of("heading"), of("reason"))
+    gone = found.where("not kept").join(sources.select("doc_id", "scheme"), "doc_id", "left").select(F.lit(1), of("scheme"), "doc_id", none("int"), dropped_line).distinct()
+    totals = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("words")).join(sources.select("doc_id", "title", "url"), "doc_id", "left")
+    source = totals.select(F.lit(2), none("string"), "doc_id", none("int"), F.format_string("SOURCE %s  %s\n  url        %s\n  chunks     %d\n  words      %,d", of("doc_id"), F.coalesce("title", F.lit("?")), F.coalesce("url", F.lit("?")), "chunks", "words"))
+    warned = F.when(F.size("warnings") > 0, F.concat(F.lit("  warnings=["), F.array_join("warnings", "; "), F.lit("]"))).otherwise("")
+    size = F.format_string("        chars=%s  words=%s  source=%s  scheme=%s", of(F.format_number("n_chars", 0)), of(F.col("n_words").cast("string")), of("doc_id"), of("scheme"))
+    text = F.concat(F.lit("    "), F.replace(of("text"), F.lit("\n"), F.lit("\n    ")))
+    heading = F.when(of("section") != "", F.col("section")).otherwise(of("title"))
+    body = chunks.select(F.lit(2), none("string"), "doc_id", F.col("chunk_index").cast("int"), F.concat(F.format_string("[%03d]  ", "chunk_index"), heading, F.lit("\n"), size, warned, F.lit("\n\n"), text))
+    return head.union(gone).union(source).union(body).orderBy("part", "scheme", F.col("doc_id").cast("long"), "chunk_index", "entry")
+
+
 def preview(index: DataFrame, rows: int = 5, dims: int = 10) -> DataFrame:
     """The first vectors of an index: their leading elements, squared length, least and largest element."""
     top = index.orderBy("chunk_index").limit(rows)

@@ -144,6 +144,17 @@ def sql() -> dict[str, str]:
         "sections_per_page": f"SELECT doc_id, count(*) AS sections, count(*) FILTER (kept) AS kept, sum(CASE WHEN kept THEN len({words('concat_ws(chr(32), text, array_to_string(tables, chr(32)))')}) ELSE 0 END)::BIGINT AS words FROM (SELECT DISTINCT * FROM sections) GROUP BY doc_id",
         "dropped_sections": "SELECT scheme, array_to_string(list_sort(list(DISTINCT heading) FILTER (heading IS NOT NULL)), '; ') AS headings FROM sections JOIN sources USING (doc_id) WHERE NOT kept GROUP BY scheme",
         "dump_lines": "SELECT doc_id, chunk_index, '[' || lpad(chunk_index::VARCHAR, greatest(3, length(chunk_index::VARCHAR))::INTEGER, '0') || '] ' || coalesce(scheme, '') || ' | ' || coalesce(section, '') || ' | ' || substr(text, 1, 110) AS line FROM chunks",
+        "review_dump": f"""
+WITH s AS (SELECT DISTINCT doc_id, sec_ord, heading, kept, reason FROM sections),
+n AS (SELECT count(*) AS chunks, coalesce(sum(n_words), 0)::BIGINT AS words, coalesce(sum(n_words)::BIGINT // nullif(count(n_words), 0), 0) AS mean, coalesce(min(n_words), 0) AS least, coalesce(max(n_words), 0) AS most FROM chunks),
+m AS (SELECT count(*) AS sections, count(*) FILTER (kept) AS kept, count(*) FILTER (NOT kept) AS dropped FROM s)
+SELECT 0 AS part, NULL::VARCHAR AS scheme, NULL::VARCHAR AS doc_id, NULL::INTEGER AS chunk_index,
+  'Parameters   CHUNK_SIZE={CONFIG.chunk_size} words  CHUNK_OVERLAP={CONFIG.chunk_overlap} words  MIN_SIZE={CONFIG.min_size} words' || chr(10) || 'Chunks       ' || chunks || chr(10) || 'Words        ' || format('{{:,}}', words) || ' total, ' || mean || ' mean per chunk' || chr(10) || 'Range        ' || least || ' - ' || most || ' words' || chr(10) || 'Sections     ' || sections || ' found, ' || kept || ' kept, ' || dropped || ' dropped' AS entry FROM n, m
+UNION ALL SELECT DISTINCT 1, coalesce(scheme, ''), doc_id, NULL, '  [' || coalesce(doc_id, '') || '] ' || coalesce(heading, '') || '  -> ' || coalesce(reason, '') FROM s LEFT JOIN sources USING (doc_id) WHERE NOT kept
+UNION ALL SELECT 2, NULL, c.doc_id, NULL, 'SOURCE ' || coalesce(c.doc_id, '') || '  ' || coalesce(title, '?') || chr(10) || '  url        ' || coalesce(url, '?') || chr(10) || '  chunks     ' || n || chr(10) || '  words      ' || format('{{:,}}', w) FROM (SELECT doc_id, count(*) AS n, coalesce(sum(n_words), 0)::BIGINT AS w FROM chunks GROUP BY doc_id) c LEFT JOIN sources USING (doc_id)
+UNION ALL SELECT 2, NULL, doc_id, chunk_index, '[' || lpad(chunk_index::VARCHAR, greatest(3, length(chunk_index::VARCHAR))::INTEGER, '0') || ']  ' || CASE WHEN section <> '' THEN section ELSE coalesce(title, '') END || chr(10)
+  || '        chars=' || coalesce(format('{{:,}}', n_chars), '') || '  words=' || coalesce(n_words::VARCHAR, '') || '  source=' || coalesce(doc_id, '') || '  scheme=' || coalesce(scheme, '') || CASE WHEN len(warnings) > 0 THEN '  warnings=[' || array_to_string(warnings, '; ') || ']' ELSE '' END || chr(10) || chr(10)
+  || '    ' || replace(coalesce(text, ''), chr(10), chr(10) || '    ') FROM chunks""",
         "section_rules": f"""
 WITH s AS (SELECT DISTINCT doc_id, sec_ord, heading, text, tables, coalesce({drop}, false) AS gone FROM sections),
 good AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: x <> '' AND NOT regexp_matches(x, {quoted(rules.JUNK_LINE)}) AND NOT regexp_matches(x, {quoted(rules.DROP_LINE)})) AS ls FROM s),

@@ -192,9 +192,16 @@ def dropped_sections(spark: SparkSession, at: str) -> DataFrame:
 
 @query
 def dump_lines(spark: SparkSession, at: str) -> DataFrame:
+    """The preview of each chunk; the whole dump is ``review_dump``."""
     return report.dump(read(spark, at, "chunks"))
 
 
+@query
+def review_dump(spark: SparkSession, at: str) -> DataFrame:
+    """The review dump with the whole text of every chunk."""
+    return report.review(read(spark, at, "chunks"), read(spark, at, "sections"), read(spark, at, "sources"))
+
+
 @query
 def section_rules(spark: SparkSession, at: str) -> DataFrame:
     """What the section filters leave of the sections."""
