@@ -45,7 +45,8 @@ def oversized(text: Column, budget: Budget) -> Column:
 
 
 def cut(text: str, budget: Budget) -> list[tuple[int, int, int, str]]:
-    """(start, end, words, kind of its end) of each piece; every word lies in a piece, in order.
+    """(start, end, words, kind of its end) of each piece; every word lies in a piece, in order.  A text of white space alone
+    is cut by its length into pieces without words.
 
     >>> [text[a:b] for text in ["one two. three"] for a, b, *_ in cut(text, Budget(max_words=2, overlap=0))]
     ['one two.', 'three']
@@ -60,7 +61,8 @@ def cut(text: str, budget: Budget) -> list[tuple[int, int, int, str]]:
         ends.append(b)
     n = len(starts)
     if not n:
-        return []
+        steps = range(0, len(text), budget.max_chars)
+        return [(a, min(a + budget.max_chars, len(text)), 0, "hard" if a + budget.max_chars < len(text) else "end") for a in steps]
     start, end = np.array(starts), np.array(ends)
     gaps = [text[b:a] for a, b in zip(starts[1:], ends[:-1], strict=True)]
     lines = np.array([g.count("\n") for g in gaps] + [2])
@@ -95,7 +97,8 @@ def split_oversized(df: DataFrame, keys: list[str], text: str, budget: Budget =
     """The pieces of every row of ``df`` whose text exceeds the budget.
 
     One row a piece: the keys, ``piece`` (from 0), ``n_pieces``, ``start`` and ``end`` (code points), ``n_words``,
-    ``ended`` (paragraph, line, sentence, hard or end) and ``text``.  Rows with a null or small text give none; rows
+    ``ended`` (paragraph, line, sentence, hard or end) and ``text``.  A long text of white space
+    alone gives pieces without words.  Rows with a null or small text give none; rows
     that occur twice are cut twice; null keys stay null; columns that aren't keys are left out, so that no name clashes.
     """
     schema = T.StructType([df.schema[k] for k in keys] + T._parse_datatype_string("piece int, n_pieces int, start int, end int, n_words int, ended string, text string").fields)
