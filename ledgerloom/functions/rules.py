@@ -65,6 +65,7 @@ DROP_HEADINGS = ("return calculator", "returns calculator", "returns and ranking
 DROP_LINE = r"(?i)annualized returns|annualised returns|\breturns?\s+for\s+the\s+past\b|^\s*historic returns"
 JUNK_LINE = r"(?i)^(view all|see more|show more|load more|compare|add to watchlist|sign in|log in|login|menu|close|search|share|copy|download|apply now)\b\.?$"
 STOP_AT = ("also manages these schemes", "check past data")
+# What a user is told.
 MESSAGES = {
     "pii": "I can't help with that - this assistant doesn't collect or store personal information, and I've not saved any part of your message.\n\nFor statements, address changes or tax documents, use the official logged-in portal or your registrar:",
     "advice": "I can share published facts about these funds, but I can't give investment advice, compare which one suits you, or comment on returns.\n\nThe facts themselves - expense ratio, exit load, minimum investment, risk level, benchmark - are on the source page:",
@@ -74,6 +75,8 @@ MESSAGES = {
     "empty": "I couldn't produce a factual answer from the source pages. The facts are here:",
     "not_in_corpus": "I don't have that information in my source pages.",
     "blank": "Please type a question.",
+    "no_key": "The model that writes answers isn't set up. These are the passages found.",
+    "generation_error": "The model that writes answers gave none. These are the passages found.",
 }
 
 

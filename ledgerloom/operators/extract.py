@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.storage import spread
+
 # Elements and class fragments that are no content; where content is looked for, in order.
 DROP_TAGS = frozenset(["script", "style", "noscript", "template", "svg", "iframe", "form", "button"])
 DROP_CLASSES = ("dropdownUI_", "loggedOut_", "headerNav_", "footer_", "footerTopSection_", "returnStats_", "cookieBanner", "growwToast", "searchBox")
@@ -168,4 +170,4 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "title", "sec_ord", "level", "heading", "text", "tables"])
 
     rows = pages.where(F.col("doc_id").isNotNull() & F.col("html").isNotNull()).select(F.col("doc_id").cast("string").alias("doc_id"), "html")
-    return rows.mapInPandas(run, schema)
+    return spread(rows).mapInPandas(run, schema)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,20 +18,33 @@ Model = Callable[[list[dict]], str]
 NO_ANSWER = ("no_key", "generation_error")
 
 
-def usable_turns(turns: DataFrame) -> DataFrame:
-    """Turns (conv_id, turn, role, content, status) that may enter a history.
+def usable() -> Column:
+    """Whether a turn (role, content, status) may enter a history.
 
     All user turns but those refused for personal data; of the assistant's, those with a state that is an answer.
     """
     private = rules.pii(F.col("content")).isNotNull()
     user = (F.col("role") == "user") & ~private & ~F.coalesce(F.col("status") == "refused_pii", F.lit(False))
-    return turns.where(user | ((F.col("role") != "user") & F.col("status").isNotNull() & ~F.col("status").isin(*NO_ANSWER)))
+    return F.coalesce(user | ((F.col("role") != "user") & F.col("status").isNotNull() & ~F.col("status").isin(*NO_ANSWER)), F.lit(False))
+
+
+def usable_turns(turns: DataFrame) -> DataFrame:
+    """The turns that may enter a history."""
+    return turns.where(usable())
 
 
 def history(turns: DataFrame, last: int = EngineConfig().memory_messages) -> DataFrame:
-    """``turns`` with ``history``: array<struct<role,content>> of the ``last`` usable turns before each; ties by content."""
-    frame = Window.partitionBy("conv_id").orderBy("turn", "role", "content").rowsBetween(-last, -1)
-    return turns.withColumn("history", F.collect_list(F.struct("role", "content")).over(frame))
+    """``turns`` with ``history``: array<struct<role,content>> of the ``last`` usable turns before each; ties by content.
+
+    Every turn is kept, but those that ``usable`` rules out, such as personal data, enter no history.
+    """
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "content")
+    upto = before.rowsBetween(Window.unboundedPreceding, -1)
+    # the frame reaches back by usable turns: each row's number among them bounds it
+    placed = turns.withColumn("_on", usable()).withColumn("_n", F.coalesce(F.sum(F.col("_on").cast("int")).over(upto), F.lit(0)))
+    turn = F.when(F.col("_on"), F.struct("role", "content"))
+    recent = Window.partitionBy("conv_id").orderBy("_n").rangeBetween(-last, -1)
+    return placed.withColumn("history", F.collect_list(turn).over(recent)).drop("_on", "_n")
 
 
 def stands_alone(question: Column) -> Column:
@@ -48,20 +63,82 @@ def tidy_reply(original: Column, reply: Column) -> Column:
     return F.when((line == "") | (F.lower(line) == F.lower(original)), original).otherwise(line)
 
 
-def call_model(df: DataFrame, messages: str, out: str, model: Model, open_rows: str | None = None) -> DataFrame:
-    """``df`` with ``out``: the model's reply to each row's messages, null where it fails or the row isn't open."""
-    schema = f"struct<{df.schema.simpleString()[7:-1]},{out}:string>"
+class ModelError(RuntimeError):
+    """A model gave no reply; ``reason`` is the state of the answer that it leaves."""
+
+    def __init__(self, message: str, reason: str = "generation_error"):
+        super().__init__(message)
+        self.reason = reason
+
+
+class NoKey(ModelError):
+    """The model's access isn't set up."""
+
+    def __init__(self, message: str = "no key is set for the model"):
+        super().__init__(message, "no_key")
+
+
+@dataclass(frozen=True)
+class Bounds:
+    """A call is tried ``attempts`` times at most; before the n-th repetition it waits ``backoff`` * 2^(n-1) seconds."""
+
+    attempts: int = 3
+    backoff: float = 1.5
+
+
+def retryable(error: BaseException) -> bool:
+    """Too many requests, a fault of the server, or one of the transport, which has no status."""
+    status = getattr(error, "status_code", None)
+    return status is None or status == 429 or status >= 500
+
+
+def bounded(model: Model, bounds: Bounds = Bounds(), wait: Callable[[float], None] = time.sleep) -> Model:
+    """``model`` with repetitions: after a retryable error and after an empty reply.  Raises ``ModelError`` when the attempts are
+    used up or the error isn't retryable, ``NoKey`` at once."""
+
+    def call(messages: list[dict]) -> str:
+        last: BaseException | None = None
+        for n in range(bounds.attempts):
+            if n:
+                wait(bounds.backoff * 2 ** (n - 1))
+            try:
+                reply = (model(messages) or "").strip()
+            except ModelError:
+                raise
+            except Exception as error:  # noqa: BLE001 - clients raise many kinds
+                last = error
+                if not retryable(error):
+                    break
+                continue
+            if reply:
+                return reply
+            last = ModelError("the reply is empty")
+        raise ModelError(f"{type(last).__name__}: {last}") from last
+
+    return call
+
+
+def call_model(df: DataFrame, messages: str, out: str, model: Model, open_rows: str | None = None, failed: str | None = None) -> DataFrame:
+    """``df`` with ``out``: the model's reply to each row's messages, null where the row isn't open or the model fails.
+
+    With ``failed`` that column tells the failures apart: no_key or generation_error, null for none.
+    """
+    more = f",{failed}:string" if failed else ""
+    schema = f"struct<{df.schema.simpleString()[7:-1]},{out}:string{more}>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def one(ms) -> str | None:
+        def one(ms) -> tuple[str | None, str | None]:
             try:
-                return model([dict(m) for m in ms])
-            except Exception:  # noqa: BLE001 - whatever a model raises, the question goes on as it is
-                return None
+                return model([dict(m) for m in ms]), None
+            except Exception as error:  # noqa: BLE001 - whatever a model raises, the other rows go on
+                return None, getattr(error, "reason", "generation_error")
 
         for b in batches:
             on = b[open_rows].fillna(False).astype(bool) if open_rows else pd.Series(True, index=b.index)
-            b[out] = [one(m) if o and m is not None else None for m, o in zip(b[messages], on, strict=True)]
+            got = [one(m) if o and m is not None else (None, None) for m, o in zip(b[messages], on, strict=True)]
+            b[out] = [g[0] for g in got]
+            if failed:
+                b[failed] = [g[1] for g in got]
             yield b
 
     return df.mapInPandas(run, schema)

@@ -1,7 +1,7 @@
 """Hybrid retrieval for batches of questions: exact cosine, BM25, reciprocal-rank fusion, narrowing, floors.
 
-The question side is broadcast only while it is small; beyond ``BATCH`` questions the vectors are compared in blocks
-of questions, each block a pass of its own.
+Both arms go over the collection where it lies, a block of ``BATCH`` questions a pass, and every partition hands on its
+best few a question; all later steps work on these few rows.
 """
 
 from __future__ import annotations
@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,53 +16,45 @@ from pyspark.sql import functions as F
 from ledgerloom.config import EngineConfig
 from ledgerloom.functions.rules import target
 from ledgerloom.operators import lexical
+from ledgerloom.operators.best import CELLS, SCHEMA, Best, blocks
 from ledgerloom.storage import settle
 
 BATCH = 4096
 
 
 def _block_top(chunks: DataFrame, ids: list, docs: list, matrix: np.ndarray, k: int, key: str, vector: str) -> DataFrame:
-    """The ``k`` best chunks of each partition for each question of a block: a matrix product a batch."""
+    """The ``k`` best chunks of each partition for each question of a block: a matrix product a batch, cut down after each."""
     spark = chunks.sparkSession
     shared = spark.sparkContext.broadcast((ids, docs, matrix))
-    kind = chunks.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qid, pins, q = shared.value
         pinned = np.array([p is not None for p in pins])
         pin = np.array([p or "" for p in pins], object)
-        best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for b in batches:
-            lists = b.column(2)
-            fit = np.flatnonzero(pa.compute.fill_null(pa.compute.list_value_length(lists), -1).to_numpy(zero_copy_only=False) == q.shape[1])
-            if not len(fit):
-                continue
-            x = pa.compute.list_flatten(lists.take(pa.array(fit))).cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, q.shape[1])
-            good = np.isfinite(x).all(1)
-            x, fit = x[good], fit[good]
-            size = np.sqrt((x * x).sum(1))
-            x, fit = x[size > 0] / size[size > 0, None], fit[size > 0]
-            if not len(fit):
-                continue
-            keys = np.array(b.column(0).take(pa.array(fit)).to_pylist(), object)
-            s = np.round(q @ x.T, 6)
-            if pinned.any():
-                doc = np.array(["" if d is None else d for d in b.column(1).take(pa.array(fit)).to_pylist()], object)
-                s[pinned] = np.where(doc[None, :] == pin[pinned][:, None], s[pinned], -np.inf)
-            order = np.argsort(keys, kind="stable")
-            s, keys = s[:, order], keys[order]
-            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            rows = np.repeat(np.arange(len(q)), top.shape[1])
-            got = np.take_along_axis(s, top, 1).reshape(-1)
-            on = np.isfinite(got)
-            best.append((rows[on], keys[top.reshape(-1)[on]], got[on]))
-        if best:
-            r, c, v = (np.concatenate(x) for x in zip(*best, strict=True))
-            frame = pd.DataFrame({"r": r, "c": c, "v": v}).sort_values(["r", "v", "c"], ascending=[True, False, True], kind="stable").groupby("r").head(k)
-            yield pa.RecordBatch.from_pydict({"qid": [qid[i] for i in frame["r"]], "key": frame["c"].tolist(), "dense_score": frame["v"].to_numpy()}, schema=pa.schema([("qid", pa.string()), ("key", pa.int64()), ("dense_score", pa.float64())]))
+        best = Best(len(qid), k)
+        step = max(1, CELLS // len(qid))
+        for batch in batches:
+            for a in range(0, batch.num_rows, step):
+                b = batch.slice(a, step)
+                lists = b.column(2)
+                fit = np.flatnonzero(pa.compute.fill_null(pa.compute.list_value_length(lists), -1).to_numpy(zero_copy_only=False) == q.shape[1])
+                x = pa.compute.list_flatten(lists.take(pa.array(fit))).cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, q.shape[1])
+                good = np.isfinite(x).all(1) & (x != 0).any(1)
+                x, fit = x[good], fit[good]
+                if not len(fit):
+                    continue
+                x = x / np.sqrt((x * x).sum(1))[:, None]
+                s = np.round(q @ x.T, 6)
+                on = np.ones(s.shape, bool)
+                if pinned.any():
+                    doc = np.array(["" if d is None else d for d in b.column(1).take(pa.array(fit)).to_pylist()], object)
+                    on[pinned] = doc[None, :] == pin[pinned][:, None]
+                best.add_matrix(b.column(0).to_numpy(zero_copy_only=False)[fit], s, on)
+        yield best.rows(qid)
 
     rows = chunks.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col("doc_id").cast("string").alias("doc_id"), F.col(vector).alias("v"))
-    return rows.mapInArrow(run, "qid string, key long, dense_score double").withColumn("key", F.col("key").cast(kind))
+    kind = chunks.schema[key].dataType
+    return rows.mapInArrow(run, SCHEMA).select("qid", F.col("key").cast(kind).alias("key"), F.col("score").alias("dense_score"))
 
 
 def dense_top(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chunk_index", vector: str = "embedding") -> DataFrame:
@@ -74,32 +65,15 @@ def dense_top(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chunk_i
     questions are a stated query set and are taken in blocks of ``BATCH``.
     """
     out = None
-    rows = queries.select(F.col("qid").cast("string").alias("qid"), F.col("doc_id").cast("string").alias("doc_id"), "embedding")
-    block: list = []
-
-    def flush() -> DataFrame | None:
-        nonlocal block
-        dims = {len(r.embedding) for r in block if r.embedding}
-        parts = None
-        for d in sorted(dims):
-            use = [r for r in block if r.embedding and len(r.embedding) == d and all(x is not None and np.isfinite(x) for x in r.embedding) and any(r.embedding)]
-            if not use:
-                continue
+    rows = queries.select(F.col("qid").cast("string").alias("qid"), F.col("doc_id").cast("string").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    for block in blocks(rows, BATCH) if k >= 1 else ():
+        fit = [r for r in block if r.embedding and all(x is not None and np.isfinite(x) for x in r.embedding) and any(r.embedding)]
+        for d in sorted({len(r.embedding) for r in fit}):
+            use = [r for r in fit if len(r.embedding) == d]
             m = np.array([r.embedding for r in use], np.float64)
             m /= np.linalg.norm(m, axis=1, keepdims=True)
             part = _block_top(chunks, [r.qid for r in use], [r.doc_id for r in use], m, k, key, vector)
-            parts = part if parts is None else parts.unionByName(part)
-        block = []
-        return parts
-
-    if k >= 1:
-        for r in rows.toLocalIterator():
-            block.append(r)
-            if len(block) == BATCH:
-                part = flush()
-                out = part if out is None or part is None else out.unionByName(part)
-        part = flush()
-        out = part if out is None else out if part is None else out.unionByName(part)
+            out = part if out is None else out.unionByName(part)
     if out is None:
         return chunks.sparkSession.createDataFrame([], "qid string, key long, dense_score double, dense_rank int")
     order = Window.partitionBy("qid").orderBy(F.desc("dense_score"), "key")
@@ -114,15 +88,15 @@ def ranked(scored: DataFrame, score: str, rank: str) -> DataFrame:
 def fuse(dense: DataFrame, lex: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
     """(qid, key, dense_score, dense_rank, lexical_score, lexical_rank, score): reciprocal-rank fusion of two arms.
 
-    A chunk that an arm doesn't rank gets that arm's size plus the constant.  Ranks of 0 mean not ranked.
+    ``lex`` has a score, if of 0, for every candidate, those of the dense arm too, and ranks them all.  A candidate that the
+    dense arm doesn't rank gets that arm's size plus the constant.  Ranks of 0 mean not ranked; ties go to the lexical rank.
     """
-    sizes = lambda arm, name: arm.groupBy("qid").agg(F.count(F.lit(1)).alias(name))
-    both = dense.join(lex, ["qid", "key"], "full_outer").join(sizes(dense, "n_dense"), "qid", "left").join(sizes(lex, "n_lex"), "qid", "left")
+    size = dense.groupBy("qid").agg(F.count(F.lit(1)).alias("n_dense"))
+    both = lex.join(dense, ["qid", "key"], "left").join(size, "qid", "left")
     k = F.lit(config.rrf_k)
-    rank = lambda r, n: F.coalesce(F.col(r), F.coalesce(n, F.lit(0)) + k)
-    score = 1 / (k + rank("dense_rank", F.col("n_dense"))) + 1 / (k + rank("lexical_rank", F.col("n_lex")))
-    zero = {c: F.coalesce(c, F.lit(0)) for c in ("dense_rank", "lexical_rank")} | {c: F.coalesce(c, F.lit(0.0)) for c in ("dense_score", "lexical_score")}
-    return both.withColumn("score", F.round(score, 12)).withColumns(zero).withColumn("tie", F.when(F.col("lexical_rank") == 0, F.coalesce("n_lex", F.lit(0)) + k).otherwise(F.col("lexical_rank"))).drop("n_dense", "n_lex")
+    score = 1 / (k + F.coalesce("dense_rank", F.coalesce("n_dense", F.lit(0)) + k)) + 1 / (k + F.col("lexical_rank"))
+    zero = {"dense_rank": F.coalesce("dense_rank", F.lit(0)), "dense_score": F.coalesce("dense_score", F.lit(0.0))}
+    return both.withColumn("score", F.round(score, 12)).withColumns(zero).withColumn("tie", F.col("lexical_rank")).drop("n_dense")
 
 
 def pinned(queries: DataFrame, sources: DataFrame, question: str = "question") -> DataFrame:
@@ -133,45 +107,73 @@ def pinned(queries: DataFrame, sources: DataFrame, question: str = "question") -
     return named.withColumn("_s", scheme).join(first.withColumnRenamed("scheme", "_s"), "_s", "left").drop("_s").withColumnRenamed("pin", "doc_id")
 
 
-def retrieve(chunks: DataFrame, queries: DataFrame, config: EngineConfig = EngineConfig(), k: int | None = None) -> tuple[DataFrame, DataFrame]:
+def _lexical_arms(chunks: DataFrame, info: DataFrame, dense: DataFrame, idx: lexical.Index, k: int, config: EngineConfig) -> tuple[DataFrame, DataFrame]:
+    """(qid, key, lexical_score) of the dense candidates of questions that fuse, and (qid, key, lexical_score, lexical_rank): the ``k``
+    best of all chunks for each question that isn't pinned; both from one pass.
+
+    Chunks without a term of the question score 0 and come last, the smaller key first, so there are k if there are k chunks.
+    """
+    fused = dense.join(info.where("strategy in ('pinned', 'hybrid')").select("qid"), "qid").select("qid", "key")
+    asked = info.where("strategy <> 'dense'").select("qid", "question", (F.col("strategy") != "pinned").alias("top"))
+    scored = settle(lexical.score(idx, asked, "qid", "question", k, fused, "top", config).withColumnRenamed("score", "lexical_score"), "lexical")
+    found = scored.where("listed").drop("listed")
+    # of chunks that score 0 only the smallest k can count; found ones may be among these, hence twice as many
+    least = [r.key for r in idx.docs.select("key").orderBy("key").limit(2 * k).collect()]
+    kind = idx.docs.schema["key"].dataType.simpleString()
+    spare = asked.where("top").select("qid", F.explode(F.array(*map(F.lit, least)).cast(f"array<{kind}>")).alias("key"), F.lit(0.0).alias("lexical_score"))
+    rows = found.unionByName(spare).groupBy("qid", "key").agg(F.max("lexical_score").alias("lexical_score"))
+    return scored.where("not listed").drop("listed"), ranked(rows, "lexical_score", "lexical_rank").where(F.col("lexical_rank") <= k)
+
+
+def retrieve(chunks: DataFrame, queries: DataFrame, config: EngineConfig = EngineConfig(), k: int | None = None, idx: lexical.Index | None = None) -> tuple[DataFrame, DataFrame]:
     """Scored chunks and one row a question.
 
     ``chunks`` has chunk_index, doc_id, text and embedding; ``queries`` has qid, question, embedding and doc_id (null: all).
+    ``idx`` is the chunks' lexical index, if one was kept; else it is built.
     The strategy of a question: ``dense`` if re-ranking is off or the dense arm has one row; ``pinned`` if it names a
-    document: BM25 over the dense candidates, fused; ``lexical`` if the best cosine is under the lexical floor; else
-    ``hybrid``: both arms over everything, fused.  The second frame has strategy, below_floor and floor_applied; a low best
-    cosine is rescued by a clear lexical winner.  A blank question has no chunks and is below the floor.
+    document: BM25 over the dense candidates, fused; ``lexical`` if the best cosine is under the lexical floor: BM25 over
+    all chunks; else ``hybrid``: the best of both arms together, each with both ranks, fused.  The second frame has
+    strategy, below_floor and floor_applied; a low best cosine is rescued by a clear lexical winner.  A question without any
+    dense row has no hits and is below the floor, and so is a blank one.
     """
     k = k or config.top_k
-    wide = k * config.dense_candidates
+    wide = max(k, k * config.dense_candidates) if config.rerank else k
     # written once: questions, and what each arm has for them; all further steps work on these few rows
     queries = settle(queries.withColumn("qid", F.col("qid").cast("string")), "questions")
     asked = queries.where(F.trim(F.coalesce("question", F.lit(""))) != "")
     dense = settle(dense_top(chunks, asked, wide), "dense")
-    scored = lexical.scores(lexical.index(chunks, "chunk_index", "text"), lexical.query_terms(asked, "qid", "question"), config).select("qid", "key", F.round("score", 6).alias("lexical_score"))
     shape = dense.groupBy("qid").agg(F.max("dense_score").alias("best"), F.count(F.lit(1)).alias("n"))
-    info = asked.select("qid", F.col("doc_id").alias("pin")).join(shape, "qid", "left")
+    info = asked.select("qid", F.col("doc_id").alias("pin"), "question").join(shape, "qid", "left")
     strategy = F.when(F.lit(not config.rerank) | (F.coalesce("n", F.lit(0)) <= 1), "dense").when(F.col("pin").isNotNull(), "pinned").when(F.col("best") < config.lexical_only_floor, "lexical").otherwise("hybrid")
-    info = info.withColumn("strategy", strategy)
-    plan = info.select("qid", "strategy")
-
-    plain = dense.join(plan.where("strategy = 'dense'"), "qid").select("qid", "key", "dense_score", "dense_rank", F.lit(0.0).alias("lexical_score"), F.lit(0).alias("lexical_rank"), F.col("dense_score").alias("score"), F.col("dense_rank").alias("tie"))
-    mine = dense.join(plan.where("strategy = 'pinned'").select("qid"), "qid")
-    local = ranked(mine.select("qid", "key").join(scored, ["qid", "key"], "left").withColumn("lexical_score", F.coalesce("lexical_score", F.lit(0.0))), "lexical_score", "lexical_rank")
-    best_lex = settle(ranked(scored, "lexical_score", "lexical_rank").where(F.col("lexical_rank") <= wide), "lexical")
-    only = best_lex.join(plan.where("strategy = 'lexical'").select("qid"), "qid").select("qid", "key", F.lit(0.0).alias("dense_score"), F.lit(0).alias("dense_rank"), "lexical_score", "lexical_rank", F.col("lexical_score").alias("score"), F.col("lexical_rank").alias("tie"))
-    both = plan.where("strategy = 'hybrid'").select("qid")
-    fused = fuse(mine, local, config).unionByName(fuse(dense.join(both, "qid"), best_lex.join(both, "qid"), config))
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "tie", "key")
+    info = settle(info.withColumn("strategy", strategy), "strategies")
+    of = lambda *names: info.where(F.col("strategy").isin(*names))
+
     columns = ["qid", "key", "dense_score", "dense_rank", "lexical_score", "lexical_rank", "score", "tie"]
-    hits = plain.select(columns).unionByName(only.select(columns)).unionByName(fused.select(columns)).withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k).drop("tie")
-
-    first, second = F.max(F.when(F.col("lexical_rank") == 1, F.struct("lexical_score", "doc_id"))), F.max(F.when(F.col("lexical_rank") == 2, F.struct("lexical_score", "doc_id")))
-    owner = chunks.select(F.col("chunk_index").alias("key"), "doc_id")
-    pair = best_lex.where("lexical_rank <= 2").join(owner, "key").groupBy("qid").agg(first.alias("a"), second.alias("b"))
-    score_a, score_b = F.coalesce("a.lexical_score", F.lit(0.0)), F.coalesce("b.lexical_score", F.lit(0.0))
-    rescued = (score_a >= config.rescue_min_score) & ((score_a >= config.rescue_ratio * score_b) | F.coalesce(F.col("a.doc_id") == F.col("b.doc_id"), F.lit(False)))
-    low = F.coalesce("best", F.lit(-1.0)) < config.min_score
-    outcome = info.join(pair, "qid", "left").withColumn("floor_applied", F.col("pin").isNull()).withColumn("below_floor", F.col("floor_applied") & low & ~F.coalesce(rescued, F.lit(False)))
-    blank = queries.where(F.trim(F.coalesce("question", F.lit(""))) == "").select("qid", F.lit(None).cast("string").alias("pin"), F.lit("none").alias("strategy"), F.lit(True).alias("floor_applied"), F.lit(True).alias("below_floor"))
+    plain = dense.join(of("dense").select("qid"), "qid").select("qid", "key", "dense_score", "dense_rank", F.lit(0.0).alias("lexical_score"), F.lit(0).alias("lexical_rank"), F.col("dense_score").alias("score"), F.col("dense_rank").alias("tie"))
+    hits, rescue = plain, None
+    if config.rerank and not of("pinned", "lexical", "hybrid").isEmpty():
+        own, whole = _lexical_arms(chunks, info, dense, idx or lexical.index(chunks, "chunk_index", "text"), wide, config)
+        fused = dense.join(of("pinned", "hybrid").select("qid"), "qid")
+        union = own.unionByName(whole.join(of("hybrid").select("qid"), "qid").select("qid", "key", "lexical_score")).distinct()
+        ranks = fuse(fused, ranked(union, "lexical_score", "lexical_rank"), config)
+        only = whole.join(of("lexical").select("qid"), "qid").join(dense, ["qid", "key"], "left").select("qid", "key", F.coalesce("dense_score", F.lit(0.0)).alias("dense_score"), F.coalesce("dense_rank", F.lit(0)).alias("dense_rank"), "lexical_score", "lexical_rank", F.col("lexical_score").alias("score"), F.col("lexical_rank").alias("tie"))
+        hits = plain.select(columns).unionByName(only.select(columns)).unionByName(ranks.select(columns))
+        rescue = whole.where("lexical_rank <= 2").join(of("lexical").select("qid"), "qid")
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "tie", "key")
+    hits = settle(hits.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k).drop("tie"), "hits")
+
+    few = hits.select("key") if rescue is None else hits.select("key").union(rescue.select("key"))
+    owner = settle(chunks.select(F.col("chunk_index").alias("key"), F.col("doc_id").cast("string").alias("doc_id")).join(few.distinct(), "key", "left_semi").distinct(), "owners")
+    hits = hits.join(owner, "key", "left").join(info.select("qid", "pin"), "qid").withColumn("doc_id", F.coalesce("pin", "doc_id")).drop("pin")
+    info = info.withColumn("floor_applied", F.col("pin").isNull())
+    low = F.coalesce("n", F.lit(0)) == 0
+    if rescue is None:
+        info = info.withColumn("rescued", F.lit(False))
+    else:
+        at = lambda r: F.max(F.when(F.col("lexical_rank") == r, F.struct("lexical_score", "doc_id")))
+        pair = rescue.join(owner, "key", "left").groupBy("qid").agg(at(1).alias("a"), at(2).alias("b"))
+        clear = (F.col("a.lexical_score") >= config.rescue_ratio * F.coalesce("b.lexical_score", F.lit(0.0))) | (F.col("a.doc_id") == F.col("b.doc_id"))
+        info = info.join(pair, "qid", "left").withColumn("rescued", F.coalesce((F.col("a.lexical_score") >= config.rescue_min_score) & clear, F.lit(False)))
+    outcome = info.withColumn("below_floor", low | (F.col("floor_applied") & (F.col("best") < config.min_score) & ~F.col("rescued")))
+    blank = queries.where(F.trim(F.coalesce("question", F.lit(""))) == "").select("qid", F.lit(None).cast("string").alias("pin"), F.lit("none").alias("strategy"), F.lit(False).alias("floor_applied"), F.lit(True).alias("below_floor"))
     return hits.withColumnRenamed("key", "chunk_index"), outcome.select("qid", "pin", "strategy", "floor_applied", "below_floor").unionByName(blank)

@@ -67,46 +67,38 @@ r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, othe
 SELECT vec_id, other, score, rank::INTEGER AS rank FROM r WHERE rank <= 5"""
 
 
-HYBRID = f"""
-WITH vec AS (SELECT vec_id AS key, label::VARCHAR AS doc_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
-chunk_texts AS (SELECT v.key, v.doc_id, v.e, d.text FROM vec v LEFT JOIN documents d ON d.doc_id - 1 = v.key),
-base AS (SELECT v.key, i.question, v.e, v.doc_id AS label FROM vec v JOIN in_scope i ON (i.id - 1) * 100 = v.key WHERE v.key % 100 = 0),
+RETRIEVAL = f"""
+WITH vec AS (SELECT vec_id, count(*) OVER () AS nv, label::VARCHAR AS doc_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+chunk_texts AS (SELECT coalesce(d.doc_id - 1, v.vec_id) AS key, v.doc_id, v.e, d.text FROM vec v LEFT JOIN documents d ON (d.doc_id - 1) % v.nv = v.vec_id),
 asked AS (
-  SELECT key || '-' || kind AS qid, question, CASE WHEN kind = 'pinned' THEN label END AS pin, CASE WHEN kind = 'turned' THEN list_transform(e, lambda x: -x) ELSE e END AS e
-  FROM base, (VALUES ('plain'), ('pinned'), ('turned')) k(kind)
+  SELECT i.id || '-' || kind AS qid, i.question, CASE WHEN kind = 'pinned' THEN v.doc_id END AS pin, CASE WHEN kind = 'turned' THEN list_transform(v.e, lambda x: -x) ELSE v.e END AS e
+  FROM in_scope i JOIN vec v ON (i.id - 1) % v.nv = v.vec_id, (VALUES ('plain'), ('pinned'), ('turned')) k(kind)
 ),
 {bm25("chunk_texts", "key", "text", "asked", "qid", "question")},
-d0 AS (SELECT a.qid, c.key, round(list_cosine_similarity(a.e, c.e), 6) AS dense_score FROM asked a, chunk_texts c WHERE a.pin IS NULL OR a.pin = c.doc_id),
-dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dense_score DESC, key) AS dense_rank FROM d0) WHERE dense_rank <= 15),
-info AS (
-  SELECT a.qid, a.pin, max(d.dense_score) AS best, CASE WHEN count(d.key) <= 1 THEN 'dense' WHEN a.pin IS NOT NULL THEN 'pinned' WHEN max(d.dense_score) < 0.30 THEN 'lexical' ELSE 'hybrid' END AS strategy
-  FROM asked a LEFT JOIN dense d USING (qid) GROUP BY a.qid, a.pin
+cosines AS (SELECT a.qid, c.key, round(list_cosine_similarity(a.e, c.e), 6) AS cosine FROM asked a JOIN chunk_texts c ON a.pin IS NULL OR a.pin = c.doc_id),
+semantic AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, key) AS place FROM cosines QUALIFY place <= 15),
+modes AS (
+  SELECT qid, any_value(pin) AS pin, max(cosine) AS best, count(key) AS found, CASE WHEN count(key) < 2 THEN 'dense' WHEN any_value(pin) IS NOT NULL THEN 'pinned' WHEN max(cosine) < 0.3 THEN 'lexical' ELSE 'hybrid' END AS strategy
+  FROM asked LEFT JOIN semantic USING (qid) GROUP BY qid
 ),
-lex AS (SELECT * FROM (SELECT qid, key, score AS lexical_score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) AS lexical_rank FROM scored) WHERE lexical_rank <= 15),
-local AS (
-  SELECT d.qid, d.key, coalesce(s.score, 0) AS lexical_score, row_number() OVER (PARTITION BY d.qid ORDER BY coalesce(s.score, 0) DESC, d.key) AS lexical_rank
-  FROM dense d JOIN info USING (qid) LEFT JOIN scored s ON s.qid = d.qid AND s.key = d.key WHERE strategy = 'pinned'
+words_of_all AS (  -- every chunk has a score, most of them zero
+  SELECT m.qid, c.key, c.doc_id, coalesce(s.score, 0) AS bm25, row_number() OVER (PARTITION BY m.qid ORDER BY coalesce(s.score, 0) DESC, c.key) AS place
+  FROM modes m JOIN chunk_texts c ON m.strategy IN ('lexical', 'hybrid') LEFT JOIN scored s ON s.qid = m.qid AND s.key = c.key QUALIFY place <= 15
 ),
-arms AS (
-  SELECT coalesce(d.qid, l.qid) AS qid, coalesce(d.key, l.key) AS key, d.dense_rank, l.lexical_rank
-  FROM (SELECT dense.* FROM dense JOIN info USING (qid) WHERE strategy IN ('pinned', 'hybrid')) d
-  FULL JOIN (SELECT qid, key, lexical_rank FROM local UNION ALL SELECT lex.qid, key, lexical_rank FROM lex JOIN info USING (qid) WHERE strategy = 'hybrid') l ON d.qid = l.qid AND d.key = l.key
+pool AS (  -- pinned: what the vectors found; hybrid: that and the best by words
+  SELECT qid, key FROM semantic JOIN modes USING (qid) WHERE strategy IN ('pinned', 'hybrid')
+  UNION SELECT qid, key FROM words_of_all JOIN modes USING (qid) WHERE strategy = 'hybrid'
 ),
-sizes AS (SELECT qid, count(dense_rank) AS nd, count(lexical_rank) AS nl FROM arms GROUP BY qid),
-ranked AS (
-  SELECT a.qid, a.key, round(1 / (60 + coalesce(dense_rank, nd + 60)::DOUBLE) + 1 / (60 + coalesce(lexical_rank, nl + 60)::DOUBLE), 12) AS score, coalesce(lexical_rank, nl + 60) AS tie, coalesce(dense_rank, 0) AS dense_rank, coalesce(lexical_rank, 0) AS lexical_rank
-  FROM arms a JOIN sizes USING (qid)
-  UNION ALL SELECT dense.qid, key, dense_score, dense_rank, dense_rank, 0 FROM dense JOIN info USING (qid) WHERE strategy = 'dense'
-  UNION ALL SELECT lex.qid, key, lexical_score, lexical_rank, 0, lexical_rank FROM lex JOIN info USING (qid) WHERE strategy = 'lexical'
+placed AS (SELECT p.qid, p.key, coalesce(s.score, 0) AS bm25, row_number() OVER (PARTITION BY p.qid ORDER BY coalesce(s.score, 0) DESC, p.key) AS word_place FROM pool p LEFT JOIN scored s ON s.qid = p.qid AND s.key = p.key),
+fused AS (
+  SELECT p.qid, p.key, bm25, word_place, coalesce(d.place, 0) AS vector_place, round(1 / (60 + word_place)::DOUBLE + 1 / (60 + coalesce(d.place, m.found + 60))::DOUBLE, 12) AS score
+  FROM placed p JOIN modes m USING (qid) LEFT JOIN semantic d ON d.qid = p.qid AND d.key = p.key
 ),
-hits AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, tie, key) AS pos FROM ranked)"""
-
-
-PAIRED = """
-WITH vec AS (SELECT vec_id, count(*) OVER () AS nv, label::VARCHAR AS doc_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
-chunk_texts AS (SELECT coalesce(d.doc_id - 1, v.vec_id) AS key, v.doc_id, v.e, d.text FROM vec v LEFT JOIN documents d ON (d.doc_id - 1) % v.nv = v.vec_id),
-base AS (SELECT i.id AS key, i.question, v.e, v.doc_id AS label FROM in_scope i JOIN vec v ON (i.id - 1) % v.nv = v.vec_id),
-asked AS (""" + HYBRID.partition("\nasked AS (")[2]
+listed AS (
+  SELECT qid, key, score, bm25, word_place, vector_place, word_place AS tie FROM fused
+  UNION ALL SELECT w.qid, w.key, w.bm25, w.bm25, w.place, coalesce(d.place, 0), w.place FROM words_of_all w JOIN modes m USING (qid) LEFT JOIN semantic d ON d.qid = w.qid AND d.key = w.key WHERE m.strategy = 'lexical'
+  UNION ALL SELECT d.qid, d.key, d.cosine, 0, 0, d.place, d.place FROM semantic d JOIN modes m USING (qid) WHERE m.strategy = 'dense'
+)"""
 
 
 def windows(source: str, size: int, overlap: int) -> str:
@@ -132,10 +124,10 @@ def sql() -> dict[str, str]:
         "dense_topk_narrowed": dense(True),
         "vector_dq": "WITH p AS (SELECT chunk_index, CASE WHEN embedding IS NULL THEN 'null' WHEN len(embedding) <> 384 THEN 'length' WHEN len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) > 0 THEN 'not finite' WHEN abs(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) - 1) >= 1e-4 THEN 'not unit' END AS problem FROM index_rows) SELECT chunk_index, problem, count(*) AS n FROM p WHERE problem IS NOT NULL GROUP BY ALL",
         "vector_preview": "SELECT vec_id AS chunk_index, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 6) AS square, round(embedding[1]::DOUBLE, 6) AS first, round(list_min(embedding)::DOUBLE, 6) AS least, round(list_max(embedding)::DOUBLE, 6) AS largest FROM embeddings ORDER BY vec_id LIMIT 5",
-        "hybrid_retrieve": f"{HYBRID} SELECT qid, pos::INTEGER AS pos, key AS chunk_index, strategy, round(score, 6) AS score, dense_rank::INTEGER AS dense_rank, lexical_rank::INTEGER AS lexical_rank FROM hits JOIN info USING (qid) WHERE pos <= 5",
-        "floor_rescue": f"{HYBRID}, two AS (SELECT l.qid, max(CASE WHEN lexical_rank = 1 THEN lexical_score END) AS s1, max(CASE WHEN lexical_rank = 2 THEN lexical_score END) AS s2, max(CASE WHEN lexical_rank = 1 THEN doc_id END) AS d1, max(CASE WHEN lexical_rank = 2 THEN doc_id END) AS d2 FROM lex l JOIN chunk_texts c USING (key) WHERE lexical_rank <= 2 GROUP BY l.qid) SELECT qid, strategy, pin IS NULL AS floor_applied, pin IS NULL AND coalesce(best, -1) < 0.2 AND NOT coalesce(s1 >= 3 AND (s1 >= 1.4 * coalesce(s2, 0) OR coalesce(d1 = d2, false)), false) AS below_floor FROM info LEFT JOIN two USING (qid)",
-        "hybrid_retrieve_all": f"{PAIRED} SELECT qid, pos::INTEGER AS pos, key AS chunk_index, strategy, round(score, 6) AS score, dense_rank::INTEGER AS dense_rank, lexical_rank::INTEGER AS lexical_rank FROM hits JOIN info USING (qid) WHERE pos <= 5",
-        "floor_rescue_all": f"{PAIRED}, two AS (SELECT l.qid, max(CASE WHEN lexical_rank = 1 THEN lexical_score END) AS s1, max(CASE WHEN lexical_rank = 2 THEN lexical_score END) AS s2, max(CASE WHEN lexical_rank = 1 THEN doc_id END) AS d1, max(CASE WHEN lexical_rank = 2 THEN doc_id END) AS d2 FROM lex l JOIN chunk_texts c USING (key) WHERE lexical_rank <= 2 GROUP BY l.qid) SELECT qid, strategy, pin IS NULL AS floor_applied, pin IS NULL AND coalesce(best, -1) < 0.2 AND NOT coalesce(s1 >= 3 AND (s1 >= 1.4 * coalesce(s2, 0) OR coalesce(d1 = d2, false)), false) AS below_floor FROM info LEFT JOIN two USING (qid)",
+        "hybrid_retrieve": f"{RETRIEVAL} SELECT l.qid, pos::INTEGER AS pos, l.key AS chunk_index, coalesce(m.pin, c.doc_id) AS doc_id, strategy, round(score, 6) AS score, round(bm25, 6) AS lexical_score, vector_place::INTEGER AS dense_rank, word_place::INTEGER AS lexical_rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, tie, key) AS pos FROM listed QUALIFY pos <= 5) l JOIN modes m USING (qid) JOIN chunk_texts c USING (key)",
+        "floor_rescue": f"""{RETRIEVAL},
+winners AS (SELECT qid, max(bm25) FILTER (place = 1) AS s1, max(bm25) FILTER (place = 2) AS s2, max(doc_id) FILTER (place = 1) AS d1, max(doc_id) FILTER (place = 2) AS d2 FROM words_of_all JOIN modes USING (qid) WHERE strategy = 'lexical' GROUP BY qid)
+SELECT qid, strategy, pin IS NULL AS floor_applied, found = 0 OR (pin IS NULL AND best < 0.2 AND NOT coalesce(s1 >= 3 AND (s1 >= 1.4 * coalesce(s2, 0) OR d1 = d2), false)) AS below_floor FROM modes LEFT JOIN winners USING (qid)""",
         "word_windows": f"SELECT doc_id, win, len(part)::INTEGER AS n_words, md5(array_to_string(part, ' ')) AS digest FROM {windows(f'(SELECT doc_id, {words("text")} AS ws FROM documents WHERE text IS NOT NULL)', CONFIG.chunk_size, CONFIG.chunk_overlap)}",
         "section_windows": f"SELECT w.doc_id, sec_ord, win, md5(array_to_string(part, ' ')) AS digest FROM {windows(f'(SELECT DISTINCT s.doc_id, sec_ord, {words("concat_ws(chr(32), s.text, array_to_string(s.tables, chr(10)))")} AS ws FROM sections s WHERE kept)', CONFIG.chunk_size, CONFIG.chunk_overlap)} w JOIN sources USING (doc_id)",
         "chunks_per_scheme": "SELECT coalesce(scheme, '') AS scheme, count(*) AS n FROM chunks GROUP BY ALL UNION ALL SELECT 'TOTAL', count(*) FROM chunks",

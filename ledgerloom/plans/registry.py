@@ -85,34 +85,6 @@ def vector_preview(spark: SparkSession, at: str) -> DataFrame:
     return report.preview(rows).select("chunk_index", "square", F.round(F.col("head")[0].cast("double"), 6).alias("first"), F.round(F.col("least").cast("double"), 6).alias("least"), F.round(F.col("largest").cast("double"), 6).alias("largest"))
 
 
-def _joint(spark: SparkSession, at: str) -> tuple[DataFrame, DataFrame]:
-    """Vectors with the text of the document of that number; questions with a vector each: every hundredth vector, turned
-    round for some, pinned to its label for others.  Documents without a vector of that number and questions beyond the
-    last vector take no part, as the queries' SQL has it; ``_paired`` keeps all."""
-    vectors = read(spark, at, "embeddings").select(F.col("vec_id").alias("chunk_index"), F.col("label").cast("string").alias("doc_id"), "embedding")
-    docs = read(spark, at, "documents").select((F.col("doc_id") - 1).alias("chunk_index"), "text")
-    chunks = vectors.join(docs, "chunk_index", "left")
-    items = read(spark, at, "in_scope").select(((F.col("id") - 1) * 100).cast("long").alias("n"), "question")
-    base = vectors.where("chunk_index % 100 = 0").join(items, F.col("chunk_index") == F.col("n"))
-    kinds = F.explode(F.array(F.lit("plain"), F.lit("pinned"), F.lit("turned"))).alias("kind")
-    rows = base.select("chunk_index", "question", "embedding", F.col("doc_id").alias("label"), kinds)
-    asked = rows.select(F.concat_ws("-", "chunk_index", "kind").alias("qid"), "question", F.when(F.col("kind") == "pinned", F.col("label")).alias("doc_id"), F.when(F.col("kind") == "turned", F.transform("embedding", lambda x: -x)).otherwise(F.col("embedding")).alias("embedding"))
-    return chunks, asked
-
-
-@query
-def hybrid_retrieve(spark: SparkSession, at: str) -> DataFrame:
-    """Hits of questions under all strategies, over the documents and questions that ``_joint`` leaves; see ``hybrid_retrieve_all``."""
-    hits, outcome = retrieve.retrieve(*_joint(spark, at))
-    return hits.join(outcome, "qid").select("qid", F.col("pos").cast("int").alias("pos"), "chunk_index", "strategy", F.round("score", 6).alias("score"), F.col("dense_rank").cast("int").alias("dense_rank"), F.col("lexical_rank").cast("int").alias("lexical_rank"))
-
-
-@query
-def floor_rescue(spark: SparkSession, at: str) -> DataFrame:
-    """Whether a question's best cosine is too low and no lexical hit rescues it, over what ``_joint`` leaves; see ``floor_rescue_all``."""
-    return retrieve.retrieve(*_joint(spark, at))[1].select("qid", "strategy", "floor_applied", "below_floor")
-
-
 def _paired(spark: SparkSession, at: str) -> tuple[DataFrame, DataFrame]:
     """All documents, each with the vector of its number modulo the number of vectors, and the vectors that no document
     takes, without text; all questions, each with a vector in the same way, turned round for some, pinned to its label
@@ -130,15 +102,15 @@ def _paired(spark: SparkSession, at: str) -> tuple[DataFrame, DataFrame]:
 
 
 @query
-def hybrid_retrieve_all(spark: SparkSession, at: str) -> DataFrame:
+def hybrid_retrieve(spark: SparkSession, at: str) -> DataFrame:
     """Hits of all questions over all documents under all strategies."""
     hits, outcome = retrieve.retrieve(*_paired(spark, at))
-    return hits.join(outcome, "qid").select("qid", F.col("pos").cast("int").alias("pos"), "chunk_index", "strategy", F.round("score", 6).alias("score"), F.col("dense_rank").cast("int").alias("dense_rank"), F.col("lexical_rank").cast("int").alias("lexical_rank"))
+    return hits.join(outcome, "qid").select("qid", F.col("pos").cast("int").alias("pos"), "chunk_index", hits["doc_id"], "strategy", F.round("score", 6).alias("score"), F.round("lexical_score", 6).alias("lexical_score"), F.col("dense_rank").cast("int").alias("dense_rank"), F.col("lexical_rank").cast("int").alias("lexical_rank"))
 
 
 @query
-def floor_rescue_all(spark: SparkSession, at: str) -> DataFrame:
-    """The floor and its rescue for all questions over all documents."""
+def floor_rescue(spark: SparkSession, at: str) -> DataFrame:
+    """Whether a question's best cosine is too low and no lexical hit rescues it: all questions, all documents."""
     return retrieve.retrieve(*_paired(spark, at))[1].select("qid", "strategy", "floor_applied", "below_floor")
 
 

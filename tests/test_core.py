@@ -168,13 +168,78 @@ def test_answer_end_to_end(spark):
     assert got["a"].status == "answered" and got["a"].link_url == "u3" and "7%" in got["a"].message and got["a"].narrowed_by == "scheme:mid_cap"
     assert got["b"].status == "refused_advice" and got["b"].link_url == "u1" and got["b"].n_chunks == 0
     assert got["c"].link_url == "u2" and got["c"].rewritten == "What is the exit load of the elss fund?"
-    assert got["d"].status == "off_topic" and got["e"].status == "not_in_corpus"
+    assert got["d"].status == "off_topic" and got["d"].link_url is None
+    assert got["e"].status == "not_in_corpus" and got["e"].link_url == "u1" and got["e"].rewritten == ""
+
+
+def _asked(spark):
+    model = embed.HashedEmbedder()
+    texts = [("1", "amc_overview", "The fund house is in Pune and keeps 30 people."), ("2", "elss", "The exit load of the elss fund is 5% of units."), ("3", "mid_cap", "The exit load of the mid cap fund is 7%.")]
+    chunks = embed.embed(spark.createDataFrame([(i, d, s, "T", "sec", f"u{d}", x) for i, (d, s, x) in enumerate(texts)], "chunk_index int, doc_id string, scheme string, title string, section string, url string, text string"), "text", model)
+    src = spark.createDataFrame([(d, s, "T", f"u{d}") for d, s, _ in texts], "doc_id string, scheme string, title string, url string")
+    q = [("a", "What is the exit load of the elss fund?", []), ("b", "and its exit load?", [("user", "the mid cap fund")])]
+    return q, lambda generator, rewriter=None: {
+        r.qid: r for r in answer.answer(spark.createDataFrame(q, "qid string, question string, history array<struct<role:string,content:string>>"), chunks, src, lambda df, c: embed.embed(df, c, model), generator=generator, rewriter=rewriter).collect()
+    }
+
+
+def test_links_of_refusals(spark):
+    _, run = _asked(spark)
+    unknown = run(lambda m: "I don't have that information in my source pages.", lambda m: "What is the exit load of the mid cap fund?")
+    assert {(r.status, r.link_url, r.rewritten) for r in unknown.values()} == {("not_in_corpus", "u2", ""), ("not_in_corpus", "u3", "")}
+    drift = run(lambda m: "You should buy it.")
+    assert {(r.status, r.rule, r.link_url) for r in drift.values()} == {("output_drift", "drift:ADVICE", "u1")}
+    ungrounded = run(lambda m: "It is 9.5% [1].")
+    assert ungrounded["a"].status == "not_in_corpus" and ungrounded["a"].link_url == "u2" and ungrounded["a"].n_chunks > 0
+
+
+def test_a_model_that_fails_says_so(spark):
+    def no_key(_):
+        raise memory.NoKey
+
+    def broken(_):
+        error = ValueError("bad request")
+        error.status_code = 400
+        raise error
+
+    _, run = _asked(spark)
+    assert {r.status for r in run(no_key).values()} == {"no_key"}
+    got = run(broken)
+    assert {r.status for r in got.values()} == {"generation_error"} and all(r.n_chunks for r in got.values())
+
+
+def test_bounded_model():
+    class Busy(Exception):
+        status_code = 429
+
+    class Bad(Exception):
+        status_code = 400
+
+    def scripted(*steps):
+        todo = list(steps)
+
+        def model(_):
+            step = todo.pop(0)
+            if isinstance(step, BaseException):
+                raise step
+            return step
+
+        return model, todo
+
+    waits = []
+    model, _ = scripted(Busy(), "  ", " done ")
+    assert memory.bounded(model, wait=waits.append)([]) == "done" and waits == [1.5, 3.0]
+    for steps, left in (((OSError(), "", None, "late"), 1), ((Bad(), "late"), 1), ((memory.NoKey(), "late"), 1)):
+        model, todo = scripted(*steps)
+        with pytest.raises(memory.ModelError):
+            memory.bounded(model, wait=waits.append)([])
+        assert len(todo) == left
 
 
 def test_memory(spark):
     turns = [(1, i, "user" if i % 2 == 0 else "assistant", f"m{i}", "answered") for i in range(20)] + [(2, 0, "user", "pan ABCDE1234F", None), (2, 1, "assistant", "no", "refused_pii"), (2, 2, "assistant", "x", "no_key"), (2, 3, "user", "next", None)]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, content string, status string")
-    rows = {(r.conv_id, r.turn): [m.content for m in r.history] for r in memory.history(memory.usable_turns(df), 10).collect()}
+    rows = {(r.conv_id, r.turn): [m.content for m in r.history] for r in memory.history(df, 10).collect()}
     assert rows[1, 19] == [f"m{i}" for i in range(9, 19)] and rows[2, 3] == ["no"]
     cases = [("q", '"Better q"\n', "Better q"), ("q", "", "q"), ("q", "Q", "q"), ("q", None, "q"), ("q", "‘x\ny’", "x y")]
     d = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, q string, r string, want string")
@@ -220,13 +285,14 @@ def test_metrics(spark):
 def test_stream_history(spark, tmp_path):
     from ledgerloom.streaming import history as stream
 
-    turns = [(1, i, "user" if i % 2 == 0 else "assistant", f"m{i}") for i in range(6)]
-    spark.createDataFrame(turns, "conv_id long, turn long, role string, content string").coalesce(1).write.json(str(tmp_path / "in"))
-    source = spark.readStream.schema("conv_id long, turn long, role string, content string").json(str(tmp_path / "in"))
+    schema = "conv_id long, turn long, role string, content string, status string"
+    turns = [(1, i, "user" if i % 2 == 0 else "assistant", f"m{i}", "answered") for i in range(6)] + [(2, 0, "user", "my pan is ABCDE1234F", None), (2, 1, "assistant", "no", "refused_pii"), (2, 2, "user", "next", None)]
+    spark.createDataFrame(turns, schema).coalesce(1).write.json(str(tmp_path / "in"))
+    source = spark.readStream.schema(schema).json(str(tmp_path / "in"))
     run = stream.stream_history(source, 2).writeStream.format("memory").queryName("turns").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
     run.processAllAvailable()
     run.stop()
-    assert {(r.turn, tuple(m.content for m in r.history)) for r in spark.table("turns").collect()} == {(0, ()), (2, ("m0", "m1")), (4, ("m2", "m3"))}
+    assert {(r.conv_id, r.turn, tuple(m.content for m in r.history)) for r in spark.table("turns").collect()} == {(1, 0, ()), (1, 2, ("m0", "m1")), (1, 4, ("m2", "m3")), (2, 0, ()), (2, 2, ("no",))}
 
 
 def test_registered_queries():

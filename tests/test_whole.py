@@ -29,11 +29,11 @@ def test_all_documents_and_questions_are_retrieved(spark, tmp_path, n_vectors, n
     spark.createDataFrame(vectors, "vec_id long, label string, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     spark.createDataFrame([(i + 1, text(i)) for i in range(n_docs)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i + 1, text(i)) for i in range(n_docs)], "id int, question string").write.parquet(f"{tmp_path}/in_scope.parquet")
-    rows = registry.queries()["hybrid_retrieve_all"](spark, str(tmp_path)).collect()
+    rows = registry.queries()["hybrid_retrieve"](spark, str(tmp_path)).collect()
     assert {r.qid for r in rows} == {f"{i + 1}-{kind}" for i in range(n_docs) for kind in ("plain", "pinned", "turned")}
-    assert matches_sql(rows, "hybrid_retrieve_all", tmp_path)
-    floors = registry.queries()["floor_rescue_all"](spark, str(tmp_path)).collect()
-    assert len(floors) == 3 * n_docs and matches_sql(floors, "floor_rescue_all", tmp_path)
+    assert matches_sql(rows, "hybrid_retrieve", tmp_path)
+    floors = registry.queries()["floor_rescue"](spark, str(tmp_path)).collect()
+    assert len(floors) == 3 * n_docs and matches_sql(floors, "floor_rescue", tmp_path)
     chunks, _ = registry._paired(spark, str(tmp_path))
     assert chunks.agg(F.count("text"), F.count_distinct("chunk_index")).first()[:] == (n_docs, max(n_docs, n_vectors))
 
