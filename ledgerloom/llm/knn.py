@@ -1,12 +1,17 @@
 """The most similar vectors of every vector, by navigable small-world graphs.
 
-The collection is cut into shards of similar vectors (spherical k-means, fitted on a bounded sample).  Every shard
-holds one hierarchical graph as flat arrays: at each level a matrix of neighbour positions, chosen for closeness and for
-spread.  A vector finds its neighbours within its own shard from the graph's construction, and visits the shards whose
-centre is nearly as close as its own by descending their graphs.  The shards' answers are merged.
+The collection is cut into shards of similar vectors: spherical k-means in two levels, whose centres grow in number with
+the collection.  Every shard holds one hierarchical graph as flat arrays: a level is a matrix of neighbour positions, and its
+rows are inserted in batches, each searching the graph that is there, choosing neighbours for closeness and for spread, and
+being entered in theirs.  Every vector descends the graph of its own shard, and of those whose centre is nearly as close,
+and the shards' answers are merged.  Nothing is compared with a whole shard.
 
 Vectors travel as 16-bit integers with one scale each (an error near 1e-5 of a similarity).  Vectors that are the same
 bit for bit answer each other: of more than ``k`` + 1 copies only the first k + 1 enter a graph.
+
+Bounds: the driver holds ``groups_on`` sampled vectors and one centre a shard, ``shards`` of them at most (50 MB).  Up to
+``shard`` * ``shards`` = 1.3e8 vectors shards have some ``shard`` vectors; beyond that they grow, a graph's cost with n log n and
+its memory with n, so that 4e9 vectors make shards of 60,000 (250 MB).
 """
 
 from __future__ import annotations
@@ -20,23 +25,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.storage import settle
+from ledgerloom.storage import settle, spread
 
 
 @dataclass(frozen=True)
 class Graphs:
-    """``k`` neighbours; ``dim`` the length of a usable vector; ``shard`` vectors a graph on average; ``sample`` vectors to fit the centres on."""
+    """``k`` neighbours; ``dim`` the length of a usable vector; ``shard`` vectors a graph on average, ``shards`` graphs at most.
+
+    Groups of centres are fitted on ``groups_on`` vectors, the centres of a group on ``points`` sampled ones each.  A vector visits
+    the ``probes`` nearest shards whose centre is within ``margin`` of its own.  A row of a graph has ``degree`` neighbours that
+    it chose and as many that chose it; ``build`` and ``beam`` rows are followed on inserting and on asking.
+    """
 
     k: int = 5
     dim: int = 384
     shard: int = 2048
-    sample: int = 16_384
-    shards: int = 4096
+    shards: int = 65_536
+    groups_on: int = 4096
+    points: int = 32
     probes: int = 3
     margin: float = 0.25
     degree: int = 16
-    beam: int = 24
+    build: int = 32
+    beam: int = 32
     fan: int = 16
+    batch: int = 512
+    resent: int = 200_000
 
 
 def encode(rows: np.ndarray) -> np.ndarray:
@@ -77,12 +91,13 @@ def usable(df: DataFrame, row_id: str, item: str, vector: str, stamp: str, graph
 
     rows = df.where(F.col(row_id).isNotNull() & F.col(item).isNotNull() & F.col(vector).isNotNull())
     rows = rows.select(F.col(item).cast("long").alias("item"), F.col(row_id).cast("string").alias("row_id"), F.col(stamp).cast("string").alias("stamp"), F.col(vector).alias("v"))
-    coded = settle(rows.mapInArrow(run, "item long, row_id string, stamp string, code binary").withColumns({"same": F.xxhash64("code"), "copy": F.monotonically_increasing_id()}), "codes")
+    coded = settle(spread(rows).mapInArrow(run, "item long, row_id string, stamp string, code binary").withColumns({"same": F.xxhash64("code"), "copy": F.monotonically_increasing_id()}), "codes")
     # written once, so ``copy`` stays the same and tells identical rows apart
     version = F.struct(F.coalesce("stamp", F.lit("")).alias("s"), F.col("same"), F.col("item"), F.col("copy"))
-    last = coded.groupBy("row_id").agg(F.max(version).alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").select("row_id", "last")
-    # few ids come again; the join moves codes only if Spark finds their side too large to send
-    return coded.join(last, "row_id", "left").where(F.col("last").isNull() | (F.col("last") == version)).select("item", "code", "same")
+    last = settle(coded.groupBy("row_id").agg(F.max(version).alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").select("row_id", "last"), "resent")
+    # few ids come again: while they are, their list goes to the codes, beyond that the codes are joined with it
+    side = F.broadcast(last) if last.count() <= graphs.resent else last
+    return coded.join(side, "row_id", "left").where(F.col("last").isNull() | (F.col("last") == version)).select("item", "code", "same")
 
 
 def centres(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -100,12 +115,14 @@ def centres(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 class Graph:
     """A hierarchical small-world graph over the rows of ``x``, as flat arrays.
 
-    ``levels`` has (positions, neighbours) from the top down; the last is all rows.  A level holds one in ``fan`` of the one below.
+    Rows are kept in the order of their insertion, so a level is a prefix of them; ``levels`` has its neighbours, from the top
+    down, ``degree`` chosen ones and ``degree`` that chose the row, -1 where there are fewer.  A level holds one in ``fan`` of the
+    one below; the rows of the topmost, a few dozen, are all looked at.
     """
 
     def __init__(self, x: np.ndarray, graphs: Graphs, rng: np.random.Generator):
-        self.x, self.graphs, self.levels = x, graphs, []
-        order = rng.permutation(len(x))
+        self.order = rng.permutation(len(x))
+        self.x, self.graphs, self.levels = x[self.order], graphs, []
         size, sizes = len(x), []
         while True:
             sizes.append(size)
@@ -113,127 +130,219 @@ class Graph:
                 break
             size = math.ceil(size / graphs.fan)
         for size in reversed(sizes):
-            at = np.sort(order[:size])
-            self.levels.append((at, self._link(at, keep=size == len(x))))
-
-    def _link(self, at: np.ndarray, keep: bool) -> np.ndarray:
-        """Neighbours of each row, -1 where there are fewer: the nearest, then those nearer to the row than to a chosen one."""
-        g, n = self.graphs, len(at)
-        m = min(g.degree, n - 1)
-        wide = min(2 * g.degree, n - 1)
-        out = np.full((n, g.degree), -1, np.int32)
-        if keep:
-            self.best = np.full((n, g.k), -1, np.int32), np.full((n, g.k), -2, np.float32)
-        if m < 1:
-            return out
-        x = self.x[at]
-        for a in range(0, n, 1024):
-            s = x[a : a + 1024] @ x.T
-            rows = np.arange(len(s))
-            s[rows, a + rows] = -2
-            top = np.argpartition(s, n - wide, axis=1)[:, n - wide :]
-            sims = np.take_along_axis(s, top, 1)
-            o = np.argsort(-sims, axis=1, kind="stable")
-            top, sims = np.take_along_axis(top, o, 1), np.take_along_axis(sims, o, 1)
-            if keep:
-                kk = min(g.k, wide)
-                self.best[0][a : a + len(s), :kk], self.best[1][a : a + len(s), :kk] = top[:, :kk], sims[:, :kk]
-            out[a : a + len(s), :m] = self._spread(x, top, sims, m)
-        return out
-
-    def _spread(self, x: np.ndarray, top: np.ndarray, sims: np.ndarray, m: int) -> np.ndarray:
-        """The first half of the neighbours by similarity; then each that is closer to the row than to the last one chosen, while there are."""
+            self.levels.append(self._level(size))
+
+    def _level(self, size: int) -> np.ndarray:
+        g = self.graphs
+        links, sims = np.full((size, 2 * g.degree), -1, np.int32), np.full((size, 2 * g.degree), -3, np.float32)
+        done = 0
+        while done < size:
+            # the rows of the level above come first: they are where a descent enters
+            above = len(self.levels[-1]) if self.levels else size
+            stop = min(size, above if not done else done + min(done, g.batch))
+            for lo in range(done, stop, g.batch):
+                hi = min(stop, lo + g.batch)
+                q = self.x[lo:hi]
+                mates = q @ q.T  # rows of one batch don't find each other by search
+                np.fill_diagonal(mates, -3)
+                ids = np.broadcast_to(np.arange(lo, hi), mates.shape)
+                if lo:
+                    entry = self._enter(q) if done else (np.zeros((len(q), 1), np.int64), (q @ self.x[0])[:, None])
+                    got = self._beam(q, links[:lo], *entry, g.build)
+                    ids, mates = np.concatenate([got[0], ids], 1), np.concatenate([got[1], mates], 1)
+                wide = min(g.build, ids.shape[1])
+                top = np.argpartition(-mates, wide - 1, axis=1)[:, :wide]
+                top = np.take_along_axis(top, np.argsort(-np.take_along_axis(mates, top, 1), axis=1, kind="stable"), 1)
+                self._connect(links, sims, lo, np.take_along_axis(ids, top, 1), np.take_along_axis(mates, top, 1))
+            done = stop
+        return links
+
+    def _connect(self, links: np.ndarray, sims: np.ndarray, lo: int, ids: np.ndarray, near: np.ndarray) -> None:
+        """Enters the neighbours of the rows from ``lo`` on, chosen from candidates by falling similarity, and these rows in theirs."""
+        m = self.graphs.degree
+        ids, near = self._spread(ids, near)
+        ids = np.where(near > -2, ids, -1)
+        links[lo : lo + len(ids), : ids.shape[1]], sims[lo : lo + len(ids), : ids.shape[1]] = ids, near
+        r, c = np.nonzero(ids >= 0)
+        to, of, s = ids[r, c], lo + r, near[r, c]
+        order = np.lexsort((-s, to))
+        to, of, s = to[order], of[order], s[order]
+        rows, first, count = np.unique(to, return_index=True, return_counts=True)
+        rank = np.arange(len(to)) - np.repeat(first, count)
+        on = rank < m
+        which = np.repeat(np.arange(len(rows)), count)[on]
+        more, more_s = np.full((len(rows), m), -1, np.int32), np.full((len(rows), m), -3, np.float32)
+        more[which, rank[on]], more_s[which, rank[on]] = of[on], s[on]
+        all_i, all_s = np.concatenate([links[rows, m:], more], 1), np.concatenate([sims[rows, m:], more_s], 1)
+        best = np.argsort(-all_s, axis=1, kind="stable")[:, :m]
+        links[rows, m:], sims[rows, m:] = np.take_along_axis(all_i, best, 1), np.take_along_axis(all_s, best, 1)
+
+    def _spread(self, ids: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``degree`` of the candidates: half by similarity, then those that are closer to the row than to the last one chosen, while there are."""
+        m = self.graphs.degree
         half = (m + 1) // 2
-        if top.shape[1] <= m or m < 4:
-            return top[:, :m]
-        rest, rest_s = top[:, half:], sims[:, half:]
-        pivot = x[top[:, half - 1]]
-        away = np.einsum("nd,nkd->nk", pivot, x[rest]) < rest_s
+        if ids.shape[1] <= m or m < 4:
+            return ids[:, :m], near[:, :m]
+        rest, rest_s = ids[:, half:], near[:, half:]
+        away = np.einsum("nd,nkd->nk", self.x[ids[:, half - 1]], self.x[rest]) < rest_s
         order = np.argsort(~away, axis=1, kind="stable")[:, : m - half]
-        return np.concatenate([top[:, :half], np.take_along_axis(rest, order, 1)], 1)
+        return np.concatenate([ids[:, :half], np.take_along_axis(rest, order, 1)], 1), np.concatenate([near[:, :half], np.take_along_axis(rest_s, order, 1)], 1)
+
+    def search(self, q: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, similarities) of the ``k`` best found for each query, -1 where there are fewer; queries descend together.
 
-    def search(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, similarities) of the ``k`` best found for each query, -1 where there are fewer; queries descend together."""
+        ``own`` are the rows of the queries themselves, which are no answers; rows as in the ``x`` that was given.
+        """
         g = self.graphs
         found = np.full((len(q), g.k), -1, np.int64), np.full((len(q), g.k), -2, np.float32)
-        for a in range(0, len(q), 256):
-            i, s = self._descend(q[a : a + 256])
+        for a in range(0, len(q), g.batch):
+            part = q[a : a + g.batch]
+            i, s = self._beam(part, self.levels[-1], *self._enter(part), g.beam) if len(self.levels) > 1 else self._all(part)
+            i = self.order[i]
+            if own is not None:
+                s = np.where(i == own[a : a + g.batch, None], -3, s)
+                o = np.argsort(-s, axis=1, kind="stable")
+                i, s = np.take_along_axis(i, o, 1), np.take_along_axis(s, o, 1)
             kk = min(g.k, i.shape[1])
-            found[0][a : a + 256, :kk], found[1][a : a + 256, :kk] = i[:, :kk], s[:, :kk]
+            found[0][a : a + g.batch, :kk], found[1][a : a + g.batch, :kk] = np.where(s[:, :kk] > -2, i[:, :kk], -1), s[:, :kk]
         return found
 
-    def _descend(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        top = self.levels[0][0]
-        s = q @ self.x[top].T
+    def _all(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of the topmost level, best first."""
+        s = q @ self.x[: len(self.levels[0])].T
         o = np.argsort(-s, axis=1, kind="stable")[:, : self.graphs.beam]
-        ids, sims = top[o], np.take_along_axis(s, o, 1)
-        for at, links in self.levels[1:]:
-            ids, sims = self._beam(q, at, links, ids, sims)
-        return ids, sims
+        return o, np.take_along_axis(s, o, 1)
 
-    def _beam(self, q: np.ndarray, at: np.ndarray, links: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _enter(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the descent of each query through the levels that are linked, but for the last one asked, arrives."""
+        ids, sims = self._all(q)
+        above = self.levels[1:] if len(self.levels[-1]) < len(self.x) else self.levels[1:-1]
+        for links in above:
+            ids, sims = self._beam(q, links, ids[:, :8], sims[:, :8], 8)
+        return ids[:, :8], sims[:, :8]
+
+    def _beam(self, q: np.ndarray, links: np.ndarray, ids: np.ndarray, sims: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """A beam search of all queries in lockstep: each expands its best few rows that aren't expanded, until none is left in its beam."""
-        width = self.graphs.beam
-        where = np.full(len(self.x), -1, np.int64)
-        where[at] = np.arange(len(at))
-        seen = np.zeros((len(q), len(at)), bool)
-        pos = where[ids]
-        rows = np.arange(len(q))
-        np.put_along_axis(seen, pos, True, 1)
-        done = np.zeros(pos.shape, bool)
-        active = rows
-        for step in range(width):
-            score = np.where(done[active], -3, sims[active])
-            lead = np.argsort(-score, axis=1, kind="stable")[:, :2]
-            live = np.take_along_axis(score, lead, 1)[:, 0] > -2.5
-            active, lead = active[live], lead[live]
+        n, lead = len(q), 4
+        seen = np.zeros((n, len(links)), bool)
+        np.put_along_axis(seen, ids, True, 1)
+        fill = max(0, width - ids.shape[1])
+        pos = np.concatenate([ids, np.zeros((n, fill), np.int64)], 1)[:, :width].astype(np.int64)
+        sims = np.concatenate([sims, np.full((n, fill), -3, np.float32)], 1)[:, :width]
+        done = sims < -2
+        active = np.arange(n)
+        while len(active):
+            first = np.argsort(done[active], axis=1, kind="stable")[:, :lead]
+            live = ~np.take_along_axis(done[active], first, 1)
+            on = live[:, 0]
+            active, first, live = active[on], first[on], live[on]
             if not len(active):
                 break
-            done[active[:, None], lead] = True
-            new = links[pos[active[:, None], lead]].reshape(len(active), -1)
+            np.put_along_axis(done_rows := done[active], first, True, 1)
+            new = np.where(live[:, :, None], links[pos[active[:, None], first]], -1).reshape(len(active), -1)
             r, c = np.nonzero((new >= 0) & ~seen[active[:, None], np.maximum(new, 0)])
-            p = new[r, c]
-            flat = np.unique(r.astype(np.int64) * len(at) + p)
-            r, p = flat // len(at), flat % len(at)
+            flat = np.unique(r * np.int64(len(links)) + new[r, c])
+            r, p = flat // len(links), flat % len(links)
             seen[active[r], p] = True
-            dots = np.einsum("ij,ij->i", q[active[r]], self.x[at[p]])
             count = np.bincount(r, minlength=len(active))
-            if not count.max(initial=0):
+            most = int(count.max(initial=0))
+            if most:
+                slot = np.arange(len(r)) - (np.cumsum(count) - count)[r]
+                more_p, more_s = np.zeros((len(active), most), np.int64), np.full((len(active), most), -3, np.float32)
+                more_p[r, slot], more_s[r, slot] = p, np.einsum("ij,ij->i", q[active[r]], self.x[p])
+                all_p, all_s = np.concatenate([pos[active], more_p], 1), np.concatenate([sims[active], more_s], 1)
+                all_d = np.concatenate([done_rows, more_s < -2], 1)
+                o = np.argsort(-all_s, axis=1, kind="stable")[:, :width]
+                pos[active], sims[active], done[active] = np.take_along_axis(all_p, o, 1), np.take_along_axis(all_s, o, 1), np.take_along_axis(all_d, o, 1)
+            else:
+                done[active] = done_rows
+        return pos, sims
+
+
+@dataclass(frozen=True)
+class Cells:
+    """``groups`` of centres, the ``centre`` of each shard by group, where each group's ``first`` is, and how many ``parts`` a shard has."""
+
+    groups: np.ndarray
+    centre: np.ndarray
+    first: np.ndarray
+    parts: np.ndarray
+
+    def near(self, x: np.ndarray, most: int, look: int = 8) -> tuple[np.ndarray, np.ndarray]:
+        """(cells, similarities) of the ``most`` centres nearest to each row, among those of its ``look`` nearest groups."""
+        s = x @ self.groups.T
+        look = min(look, s.shape[1])
+        near = np.argpartition(-s, look - 1, axis=1)[:, :look]
+        rows = np.repeat(np.arange(len(x)), look)
+        order = np.argsort(near.reshape(-1), kind="stable")
+        rows, group = rows[order], near.reshape(-1)[order]
+        at, best = np.zeros((len(x), most), np.int64), np.full((len(x), most), -3, np.float32)
+        for g, (a, b) in enumerate(zip(np.searchsorted(group, np.arange(len(self.groups))), np.searchsorted(group, np.arange(len(self.groups)), "right"), strict=True)):
+            lo, hi = self.first[g], self.first[g + 1]
+            if a == b or lo == hi:
                 continue
-            slot = np.arange(len(r)) - (np.cumsum(count) - count)[r]
-            more_p, more_s = np.zeros((len(active), count.max()), np.int64), np.full((len(active), count.max()), -3.0, np.float32)
-            more_p[r, slot], more_s[r, slot] = p, dots
-            all_p, all_s = np.concatenate([pos[active], more_p], 1), np.concatenate([sims[active], more_s], 1)
-            all_d = np.concatenate([done[active], more_s < -2], 1)
-            o = np.argsort(-all_s, axis=1, kind="stable")[:, :width]
-            if pos.shape[1] < width:  # the beam fills up on the first steps
-                grow = min(width, all_s.shape[1]) - pos.shape[1]
-                if grow > 0:
-                    pos = np.concatenate([pos, np.zeros((len(q), grow), np.int64)], 1)
-                    sims = np.concatenate([sims, np.full((len(q), grow), -3.0, np.float32)], 1)
-                    done = np.concatenate([done, np.ones((len(q), grow), bool)], 1)
-            o = o[:, : pos.shape[1]]
-            pos[active], sims[active], done[active] = np.take_along_axis(all_p, o, 1), np.take_along_axis(all_s, o, 1), np.take_along_axis(all_d, o, 1)
-        o = np.argsort(-sims, axis=1, kind="stable")
-        return at[np.take_along_axis(pos, o, 1)], np.take_along_axis(sims, o, 1)
-
-
-def _route(vectors: DataFrame, centre: np.ndarray, subs: np.ndarray, graphs: Graphs) -> DataFrame:
+            r = rows[a:b]
+            got = x[r] @ self.centre[lo:hi].T
+            top = np.argsort(-got, axis=1, kind="stable")[:, :most]
+            all_i, all_s = np.concatenate([at[r], lo + top], 1), np.concatenate([best[r], np.take_along_axis(got, top, 1)], 1)
+            o = np.argsort(-all_s, axis=1, kind="stable")[:, :most]
+            at[r], best[r] = np.take_along_axis(all_i, o, 1), np.take_along_axis(all_s, o, 1)
+        return at, best
+
+
+def fit_cells(vectors: DataFrame, n: int, graphs: Graphs) -> Cells:
+    """Centres of ``n`` / ``shard`` shards: groups on the driver, on a sample of fixed size; the centres of each group where its sample is."""
+    spark, dim = vectors.sparkSession, graphs.dim
+    cells = max(1, min(graphs.shards, math.ceil(n / graphs.shard)))
+    rows = vectors.select("item", "code", F.pmod(F.xxhash64("item"), F.lit(1 << 40)).alias("h"))
+
+    def sampled(many: int) -> DataFrame:
+        return rows.where(F.col("h") < min(1 << 40, int((1 << 40) * many / max(n, 1))))
+
+    few = sampled(graphs.groups_on).select("item", "code").toPandas().sort_values("item", kind="stable")
+    few = decode(np.frombuffer(b"".join(few["code"]), np.int16).reshape(-1, dim)) if len(few) else np.zeros((0, dim), np.float32)
+    if not len(few):
+        return Cells(np.ones((1, dim), np.float32), np.ones((1, dim), np.float32), np.array([0, 1]), np.ones(1, np.int64))
+    groups = centres(few, min(math.ceil(math.sqrt(cells)), len(few)))
+    many = min(n, max(4 * graphs.groups_on, graphs.points * cells))
+    shared = spark.sparkContext.broadcast(groups)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = (decode(_matrix(b.column(1), np.int16, dim)) @ shared.value.T).argmax(1) if b.num_rows else np.zeros(0, int)
+            yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), b.column(0), b.column(1)], names=["grp", "item", "code"])
+
+    def divide(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("item").to_numpy(), kind="stable")
+        x = decode(_matrix(table.column("code").combine_chunks(), np.int16, dim)[order])
+        c = centres(x, max(1, min(len(x), round(cells * len(x) / many))))
+        share = np.bincount((x @ c.T).argmax(1), minlength=len(c))
+        return pa.table({"grp": pa.array([table.column("grp")[0].as_py()] * len(c), pa.int32()), "share": share, "centre": pa.array([r.tobytes() for r in c.astype(np.float16)], pa.binary())})
+
+    placed = sampled(many).select("item", "code").mapInArrow(place, "grp int, item long, code binary")
+    found = sorted(placed.groupBy("grp").applyInArrow(divide, "grp int, share long, centre binary").collect(), key=lambda r: (r.grp, r.centre))
+    centre = np.frombuffer(b"".join(r.centre for r in found), np.float16).reshape(-1, dim)
+    share = np.array([r.share for r in found]) * n / max(1, sum(r.share for r in found))
+    # a cell that the sample shows to be far too large is several shards; all of them are visited
+    parts = np.maximum(1, np.ceil(share / (8 * n / len(found)))).astype(np.int64)
+    return Cells(groups, centre, np.searchsorted([r.grp for r in found], np.arange(len(groups) + 1)), parts)
+
+
+def _route(vectors: DataFrame, cells: Cells, graphs: Graphs) -> DataFrame:
     """(shard, home, item, code): each vector in its own shard and as a visitor in those it may have neighbours in."""
-    shared = vectors.sparkSession.sparkContext.broadcast((centre, subs))
-    offset = np.cumsum(subs) - subs
+    shared = vectors.sparkSession.sparkContext.broadcast(cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, parts = shared.value
+        c = shared.value
+        c = Cells(c.groups, c.centre.astype(np.float32), c.first, c.parts)
+        offset = np.cumsum(c.parts) - c.parts
         for b in batches:
             if not b.num_rows:
                 continue
-            s = decode(_matrix(b.column(1), np.int16, graphs.dim)) @ c.T
-            order = np.argsort(-s, axis=1, kind="stable")[:, : graphs.probes]
-            visit = np.take_along_axis(s, order, 1) >= s.max(1, keepdims=True) - graphs.margin
-            row, rank = np.nonzero(visit)
-            cell = order[row, rank]
-            copies = parts[cell]  # a cell that the sample shows to be large is several shards; all of them are visited
+            cell, s = c.near(decode(_matrix(b.column(1), np.int16, graphs.dim)), graphs.probes)
+            row, rank = np.nonzero((s >= s[:, :1] - graphs.margin) & (s > -2))
+            cell = cell[row, rank]
+            copies = c.parts[cell]
             item = b.column(0).to_numpy()
             own = item[row] % copies
             row2 = np.repeat(np.arange(len(row)), copies)
@@ -242,7 +351,8 @@ def _route(vectors: DataFrame, centre: np.ndarray, subs: np.ndarray, graphs: Gra
             take = pa.array(row[row2])
             yield pa.RecordBatch.from_arrays([pa.array((offset[cell[row2]] + part).astype(np.int32)), pa.array(home), b.column(0).take(take), b.column(1).take(take)], names=["shard", "home", "item", "code"])
 
-    return vectors.select("item", "code").mapInArrow(run, "shard int, home boolean, item long, code binary")
+    # a task for each shard or so, however many bytes they have
+    return vectors.select("item", "code").mapInArrow(run, "shard int, home boolean, item long, code binary").repartition(int(cells.parts.sum()), "shard")
 
 
 def _answers(routed: DataFrame, graphs: Graphs) -> DataFrame:
@@ -258,7 +368,7 @@ def _answers(routed: DataFrame, graphs: Graphs) -> DataFrame:
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
         if n:
             graph = Graph(x[:n], graphs, np.random.default_rng(shard))
-            for who, (at, sims) in ((item[:n], graph.best), (item[n:], graph.search(x[n:]) if len(x) > n else (np.zeros((0, graphs.k), np.int64), np.zeros((0, graphs.k), np.float32)))):
+            for who, (at, sims) in ((item[:n], graph.search(x[:n], np.arange(n))), (item[n:], graph.search(x[n:]))):
                 r, c = np.nonzero(at >= 0)
                 out.append((who[r], item[at[r, c]], sims[r, c]))
         a, b, s = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -275,19 +385,16 @@ def nearest(df: DataFrame, row_id: str, item: str, vector: str, stamp: str, grap
     k = graphs.k
     vectors = settle(usable(df, row_id, item, vector, stamp, graphs), "vectors")
     n = vectors.count()
-    one_in = max(1, math.ceil(n / graphs.sample))
-    rows = vectors.where(F.pmod(F.xxhash64("item"), F.lit(one_in)) == 0).select("item", "code").toPandas().sort_values("item", kind="stable")
-    sample = decode(np.frombuffer(b"".join(rows["code"]), np.int16).reshape(-1, graphs.dim)) if len(rows) else np.zeros((0, graphs.dim), np.float32)
-    cells = max(1, min(graphs.shards, math.ceil(n / graphs.shard), len(sample)))
-    centre = centres(sample, cells) if len(sample) else np.ones((1, graphs.dim), np.float32)
-    share = np.bincount((sample @ centre.T).argmax(1), minlength=cells) if len(sample) else np.ones(1)
-    subs = np.maximum(1, np.ceil(share * one_in / (4 * graphs.shard))).astype(np.int64)
+    cells = fit_cells(vectors, n, graphs)
     # copies beyond the first k + 1 of a vector are answered by these
     crowds = vectors.groupBy("same").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > k + 1).select("same")
     ranked = vectors.select("item", "same").join(crowds, "same").withColumn("r", F.row_number().over(Window.partitionBy("same").orderBy("item"))).where(F.col("r") <= k + 1)
     first = settle(ranked.select("item", "same", "r"), "crowds")
-    crowded = vectors.select("item", "same").join(first.select(F.col("item").alias("other"), "same"), "same").where("item != other").select("item", "other", F.lit(1.0).alias("similarity"))
-    alone = vectors.join(crowds, "same", "left_anti").select("item", "code").unionByName(vectors.join(first.select("item"), "item", "left_semi").select("item", "code"))
-    answers = _answers(_route(alone if not first.isEmpty() else vectors, centre, subs, graphs), graphs).where("item != other").unionByName(crowded)
     best = Window.partitionBy("item").orderBy(F.desc("similarity"), "other")
-    return answers.dropDuplicates(["item", "other"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    if first.isEmpty():
+        answers = _answers(_route(vectors, cells, graphs), graphs).where("item != other")
+    else:
+        crowded = vectors.select("item", "same").join(first.select(F.col("item").alias("other"), "same"), "same").where("item != other").select("item", "other", F.lit(1.0).alias("similarity"))
+        alone = vectors.join(crowds, "same", "left_anti").select("item", "code").unionByName(vectors.join(first.select("item"), "item", "left_semi").select("item", "code"))
+        answers = _answers(_route(alone, cells, graphs), graphs).where("item != other").unionByName(crowded).dropDuplicates(["item", "other"])
+    return answers.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -110,7 +110,7 @@ def test_nearest_recall(spark):
     x /= np.linalg.norm(x, axis=1)[:, None]
     rows = [(f"i{i}", i, [float(v) for v in x[i] * (1 + i % 3)], "2025-01-01") for i in range(len(x))]
     df = spark.createDataFrame(rows, "id string, chunk_index int, embedding array<float>, ingested_at string")
-    got = knn.nearest(df, "id", "chunk_index", "embedding", "ingested_at", knn.Graphs(dim=16, shard=150, sample=400)).collect()
+    got = knn.nearest(df, "id", "chunk_index", "embedding", "ingested_at", knn.Graphs(dim=16, shard=150, groups_on=400)).collect()
     s = x @ x.T
     np.fill_diagonal(s, -2)
     want = {(i, j) for i, row in enumerate(np.argsort(-s, axis=1)[:, :5]) for j in row}
