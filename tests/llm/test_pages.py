@@ -47,6 +47,27 @@ def test_main_bodies(spark, tables):
     assert lines == {("7", 1, 2), ("7", 1, 3), ("none", 0, 1)}
 
 
+def test_lines_are_shared_within_a_host(spark):
+    """What is furniture on one host is a fact on another, whose pages share it too seldom; a host of three pages has enough."""
+    page = "<html><title>{t}</title><body><nav><a data-b='1'>{n}</a></nav><main><h1 data-b='2'>{t}</h1><p data-b='3'>{a}<p data-b='4'>{b}</main></body></html>"
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=9))
+    pages, sources = [], []
+    for site, n in (("one.example", 60), ("two.example", 60), ("small.example", 3)):
+        for i in range(n):
+            doc = str(len(pages))
+            line = "Minimum age applies" if site == "one.example" or i == 30 else word()
+            pages.append((doc, page.format(t=word().title(), n="Home" if i % 2 else "Start", a=line, b=f"{word()} {word()}")))
+            sources.append((doc, f"https://{site}/f/{i:03d}", site))
+    bodies = boilerplate.main_bodies(spark.createDataFrame(pages, "doc_id string, html string"), spark.createDataFrame(sources, "doc_id string, url string, site string"))
+    got = {}
+    for r in bodies.blocks.collect():
+        got.setdefault(int(r.doc_id), set()).add(r.pos)
+    assert all(got[i] == {2, 4} for i in range(60)) and all(got[i] == {2, 3, 4} for i in range(60, 120)) and all(got[i] >= {2, 3, 4} for i in range(120, 123))
+    lines = {(r.site, r.line) for r in bodies.lines.collect()}
+    assert {x[0] for x in lines if x[1] == boilerplate.mark("minimumageapplies")} == {"one.example"}
+
+
 def test_no_pages(spark, tables):
     pages, sources, sections = tables
     bodies = boilerplate.main_bodies(pages.limit(0), sources.limit(0))
@@ -68,8 +89,8 @@ def test_common_is_a_longest_common_subsequence():
 
 
 def test_blocks_of_broken_pages():
-    assert boilerplate.blocks("") == [] and boilerplate.blocks("<p data-b='1'>a<p data-b='2'>b")[1][2] == "b"
-    assert boilerplate.blocks("<h2 data-b=1>T</h2><tr data-b=2><td>a<td>b</tr><p data-b=3>x &amp; <i>y</i>")[1:] == [(2, boilerplate.INSIDE, "a | b"), (3, boilerplate.INSIDE, "x & y")]
+    assert boilerplate.blocks("") == [] and boilerplate.blocks("<p data-b='1'>a<p data-b='2'>b")[1][3] == "b"
+    assert boilerplate.blocks("<h2 data-b=1>T</h2><tr data-b=2><td>a<td>b</tr><p data-b=3>x &amp; <i>y</i>")[1:] == [(2, boilerplate.INSIDE | boilerplate.BELOW, 0, "a | b"), (3, boilerplate.INSIDE, 0, "x & y")]
 
 
 WORDS = {"tax": "gains assessed cess filing deducted", "sport": "race league players match runners", "risk": "volatility drawdown stress duration beta"}
