@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.storage import spread
+
 _DEVANAGARI = f"{chr(0x900)}-{chr(0x963)}{chr(0x966)}-{chr(0x97F)}"
 WORD = re.compile(f"[A-Za-z]+|[{_DEVANAGARI}]+")
 SENTENCE = re.compile(rf"(?<=[.!?{chr(0x964)}])\s+|\n+")
@@ -29,7 +31,11 @@ BULLET = re.compile(r"^[-*•\s]+")
 
 @dataclass(frozen=True)
 class Mix:
-    """A subject is assigned from ``share`` of the sentences on, ``most`` a document at most."""
+    """A subject is assigned from ``share`` of the sentences on, ``most`` a document at most.
+
+    A leaf's label is what its ``leaf_terms`` most discriminative terms tell, to the power ``terms_say``, times what the labels of its
+    sentences say; it has none if no subject has the part ``sure`` of that.
+    """
 
     share: float = 0.25
     most: int = 2
@@ -39,6 +45,9 @@ class Mix:
     leaves: int = 320
     rounds: int = 2
     unlabelled: float = 0.1
+    leaf_terms: int = 8
+    terms_say: float = 0.25
+    sure: float = 0.6
 
 
 def sentences(text: str | None) -> list[str]:
@@ -61,7 +70,8 @@ def terms(sentence: str) -> list[str]:
 
 @dataclass
 class Model:
-    """``scores`` (term x leaf): weight of the term times the leaf's centre; ``label`` the subject of each leaf, -1 for none."""
+    """``scores`` (term x leaf): weight of the term times the leaf's centre; ``label`` the subject of each leaf, -1 for none;
+    ``prior`` the subject that most of the sample is about; ``discriminative`` the terms that labelled each leaf."""
 
     vocabulary: dict[str, int]
     weights: np.ndarray
@@ -69,6 +79,7 @@ class Model:
     label: np.ndarray
     subjects: list[str]
     discriminative: list[list[str]] = field(default_factory=list)
+    prior: int = 0
 
     def assign(self, texts: list[str]) -> np.ndarray:
         """Subject of each sentence, -1 for none."""
@@ -85,6 +96,16 @@ class Model:
         return out
 
 
+    def nearest(self, texts: list[str]) -> int:
+        """The subject of the labelled leaf that the sentences together are nearest to; -1 if no leaf has a term of theirs."""
+        ids = [v for s in texts for t in terms(s) if (v := self.vocabulary.get(t)) is not None]
+        on = np.flatnonzero(self.label >= 0)
+        if not ids or not len(on):
+            return -1
+        near = self.scores[ids].sum(0)[on]
+        return int(self.label[on[near.argmax()]]) if near.max() > 0 else -1
+
+
 def bisect(x: np.ndarray, leaves: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
     """Leaf of each row: the cluster with the largest spread is split in two until there are enough or none spreads."""
     leaf = np.zeros(len(x), int)
@@ -143,11 +164,12 @@ def fit(labelled: list[tuple[str, list[str]]], described: list[tuple[str, str]],
                 about[t] += p
                 seen[t] += 1
         smooth = 4.0
-        weight = {}
+        weight, telling = {}, {}
         for t, c in about.items():
             # a term in sentences of no subject counts against it
             p = (c + smooth * prior) / (c.sum() + smooth)
             weight[t] = float((p * np.log(p / prior)).sum()) * (c.sum() + smooth) / (seen[t] + smooth)
+            telling[t] = p / prior
         best = sorted(weight, key=lambda t: (-weight[t] * np.log1p(seen[t]), t))[: mix.terms]
         vocabulary = {t: i for i, t in enumerate(sorted(best))}
         w = np.zeros(len(vocabulary), np.float32)
@@ -167,11 +189,18 @@ def fit(labelled: list[tuple[str, list[str]]], described: list[tuple[str, str]],
         centre = np.zeros((n, len(vocabulary)), np.float32)
         np.add.at(centre, leaf[on], x[on])
         centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-9)
+        # the terms that tell a leaf from the others, and what they tell about
+        rise = centre * np.log1p(centre / np.maximum(centre.sum(0, keepdims=True) / max(n, 1), 1e-9))
+        top = np.argsort(-rise, axis=1, kind="stable")[:, : mix.leaf_terms]
+        tells = np.array([telling[t] for t in sorted(vocabulary, key=vocabulary.get)]).reshape(-1, len(names))
+        by_terms = np.einsum("nk,nks->ns", np.take_along_axis(rise, top, 1), tells[top]) if n else np.zeros((0, len(names)))
+        by_terms /= np.maximum(by_terms.sum(1, keepdims=True), 1e-9)
+        # and what the labels of its sentences say: the two together make the label
         votes = np.zeros((n, len(names)))
         np.add.at(votes, leaf[on], soft[on])
-        lift = (votes + 0.5 * prior) / prior
-        lift /= lift.sum(1, keepdims=True)
-        label = np.where((lift.max(1) >= 0.5) & (votes.sum(1) > 0), lift.argmax(1), -1)
+        lift = by_terms**mix.terms_say * (votes + 0.5 * prior) / prior
+        lift /= np.maximum(lift.sum(1, keepdims=True), 1e-9)
+        label = np.where(lift.max(1, initial=0) >= mix.sure, lift.argmax(1) if n else 0, -1) if n else np.zeros(0, int)
         # a sentence is about what its leaf says, weighed by what its document's labels allow: a label may be wrong or missing
         belief = np.zeros_like(soft)
         at = np.flatnonzero(np.append(label, -1)[leaf] >= 0)  # leaf -1: no term known
@@ -180,8 +209,9 @@ def fit(labelled: list[tuple[str, list[str]]], described: list[tuple[str, str]],
         soft = belief
         if soft.sum() == 0:
             break
-    top = [[sorted(vocabulary, key=lambda t: -centre[k, vocabulary[t]])[j] for j in range(min(5, len(vocabulary)))] for k in range(n)]
-    return Model(vocabulary, w, w[:, None] * centre.T, label, names, top)
+    words = sorted(vocabulary, key=vocabulary.get)
+    common = given[: len(given) - len(described)].sum(0) if len(given) > len(described) else given.sum(0)
+    return Model(vocabulary, w, w[:, None] * centre.T, label, names, [[words[j] for j in row] for row in top], int(common.argmax()))
 
 
 def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame, mix: Mix = Mix()) -> Model:
@@ -220,14 +250,15 @@ def mixtures(docs: DataFrame, model: Model, doc_key: str = "doc_id", text: str =
             yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[r], "subject": [names[i] for i in c], "n_about": n[r, c].astype("int32"), "n_sentences": np.maximum(count, 1)[r].astype("int32")})
 
     rows = docs.where(F.col(doc_key).isNotNull() & (F.col(text) != "")).select(F.col(doc_key).alias("doc_id"), F.col(text).alias("body"))
-    return rows.mapInPandas(run, f"doc_id {key}, subject string, n_about int, n_sentences int")
+    return spread(rows).mapInPandas(run, f"doc_id {key}, subject string, n_about int, n_sentences int")
 
 
 def subjects_of(docs: DataFrame, model: Model, mix: Mix = Mix(), doc_key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, subject, share): the subjects of each document, the largest shares first, ties by name.
+    """(doc_id, subject, share, known): the subjects of each document, the largest shares first, ties by name.
 
-    Every text that is neither null nor empty gets one at least: its largest, or the corpus' first by name if no
-    sentence is about any.  The choice is made where the document is read, so nothing is shuffled.
+    Every text that is neither null nor empty gets one at least.  If no sentence is about any, that is the subject of the
+    labelled leaf that the text as a whole is nearest to, or, if it has no known term, the one most common in the sample; its
+    share is 0 and it isn't ``known``.  The choice is made where the document is read, so nothing is shuffled.
     """
     key = docs.schema[doc_key].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -246,10 +277,15 @@ def subjects_of(docs: DataFrame, model: Model, mix: Mix = Mix(), doc_key: str =
             top = np.take_along_axis(share, order, 1)
             on = top >= mix.share - 1e-9
             on[:, 0] = True
+            known = n.any(1)
+            for i in np.flatnonzero(~known):
+                near = m.nearest(parts[i])
+                order[i, 0] = near if near >= 0 else m.prior
+                on[i, 1:] = False
             r, c = np.nonzero(on)
-            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[r], "subject": [m.subjects[i] for i in order[r, c]], "share": top[r, c]})
+            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[r], "subject": [m.subjects[i] for i in order[r, c]], "share": top[r, c], "known": known[r]})
 
     rows = docs.where(F.col(doc_key).isNotNull() & (F.col(text) != "")).select(F.col(doc_key).alias("doc_id"), F.col(text).alias("body"))
     if not model.subjects:
-        return rows.select("doc_id", F.lit(None).cast("string").alias("subject"), F.lit(0.0).alias("share")).limit(0)
-    return rows.mapInPandas(run, f"doc_id {key}, subject string, share double")
+        return rows.select("doc_id", F.lit(None).cast("string").alias("subject"), F.lit(0.0).alias("share"), F.lit(False).alias("known")).limit(0)
+    return spread(rows).mapInPandas(run, f"doc_id {key}, subject string, share double, known boolean")

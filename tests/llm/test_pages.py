@@ -136,3 +136,14 @@ def test_queries_run(spark):
     assert set(queries.oracle_sql()) <= set(queries.queries())
     for name in ("p1_found", "p3_found", "p5_clean", "p6_bins", "p7_leaks", "p8_composition"):
         assert queries.queries()[name](spark, "/root/testdata/sf0.001").columns
+
+
+def test_unknown_texts_get_no_invented_subject(spark):
+    labelled = [(f"{w} rises. The {w} of it is {w}.", [subject]) for w, subject in (("goal", "sport"), ("match", "sport"), ("court", "law"), ("judge", "law"), ("statute", "law"), ("bond", "debt")) for _ in range(20)]
+    model = subjects.fit(labelled, [("debt", "bond coupon"), ("law", "court judge"), ("sport", "match goal")])
+    docs = [(1, "qqq www eee."), (2, "これは文です。"), (3, "The goal. A match is on. Goal again."), (4, "..."), (5, ""), (6, None), (7, "A bond. A bond.")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.subject, r.known) for r in subjects.subjects_of(df, model).collect()}
+    assert got == {1: ("law", False), 2: ("law", False), 3: ("sport", True), 4: ("law", False), 7: ("debt", True)}
+    assert model.nearest(["goal and match"]) == model.subjects.index("sport") and model.nearest(["qqq"]) == -1
+    assert all(t in model.vocabulary for row in model.discriminative for t in row)
