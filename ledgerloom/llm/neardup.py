@@ -6,10 +6,12 @@ count exceeds the radius ``(1 - t) / (1 + t) * (n + m)`` can't reach the similar
 
 Comparing all tiles with all would be quadratic, so texts are compared within blocks.  All shingles are ordered, rare
 ones first, and a text enters the blocks of its first ``n - ceil(t * n) + 1`` shingles; two texts at or above ``t``
-always meet in one of them.  The order comes from a table of counters over all shingles; its size is fixed, and a
-collision changes the order but loses no pair.  Within a block rows are sorted by set size, the population count of
-the full vector; tiles that differ in it beyond the radius are skipped.  A shingle that many texts have is cut into pairs of
-tiles that go to different tasks.  What is left is checked on the texts themselves.
+always meet in one of them.  The order comes from a table of counters over all shingles; it grows with the collection up
+to ``counters`` cells (64 MB), and a collision changes the order but loses no pair.  Within a block rows are sorted by set size, the
+population count of the full vector; tiles that differ in it beyond the radius are skipped.  Blocks stream through a task one
+after the other, so its memory is that of the largest block.  A shingle with more than ``hot`` rows of its own, counted exactly
+wherever its counter leaves that open, is cut into pairs of tiles that go to different tasks.  What is left is checked on
+the texts themselves.
 
 Texts with the same shingles form one class and are compared once.
 """
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.leakage import hashes
-from ledgerloom.storage import settle
+from ledgerloom.storage import settle, spread
 
 TOKEN = re.compile("[a-z0-9]+")
 PARTS = 32
@@ -45,9 +47,9 @@ class Near:
     words: int = 5
     similarity: float = 0.8
     least_tokens: int = 0
-    counters: int = 1 << 20
+    counters: int = 1 << 24
     tile: int = 512
-    hot: int = 50_000
+    hot: int = 20_000
 
 
 def token_sets(texts: list[str | None], near: Near, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,19 +95,27 @@ def _bucket(h: np.ndarray, counters: int) -> np.ndarray:
 
 
 def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("body"))
+    return spread(df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("body")))
+
+
+def cells(texts: DataFrame, near: Near) -> int:
+    """Counters for the collection: about one for each two shingles, a word having some six characters; a power of two."""
+    chars = texts.agg(F.coalesce(F.sum(F.length("body")), F.lit(0))).first()[0]
+    return min(near.counters, 1 << max(20, math.ceil(math.log2(chars / 12 + 1))))
 
 
 def census(texts: DataFrame, near: Near) -> tuple[DataFrame, np.ndarray]:
     """(id, sid) of every text that takes part, and the counters of all shingles."""
+    size = cells(texts, near)
     rows = "id long, sid long, n int, part int, counts binary"
     schema = pa.schema([("id", pa.int64()), ("sid", pa.int64()), ("n", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, known, any_row = np.zeros(near.counters, np.uint32), {}, False
+        total, known, any_row = np.zeros(size, np.uint32), {}, False
         for b in batches:
             owner, h, n = token_sets(b.column(1).to_pylist(), near, known)
-            total += np.bincount(_bucket(h, near.counters), minlength=near.counters).astype(np.uint32)
+            at, many = np.unique(_bucket(h, size), return_counts=True)
+            total[at] += many.astype(np.uint32)
             on = np.flatnonzero(n)
             any_row |= len(on) > 0
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(on)), pa.array(set_ids(owner, h, n)[on]), pa.array(n[on].astype(np.int32)), pa.nulls(len(on), pa.int32()), pa.nulls(len(on), pa.binary())], schema=schema)
@@ -122,16 +132,16 @@ def census(texts: DataFrame, near: Near) -> tuple[DataFrame, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], names=["part", "counts"])
 
     table = settle(texts.mapInArrow(run, rows), "census")
-    counts = np.zeros((PARTS, near.counters // PARTS), np.uint32)
+    counts = np.zeros((PARTS, size // PARTS), np.uint32)
     for r in table.where("part is not null").select("part", "counts").repartition(PARTS, "part").mapInArrow(add, "part int, counts binary").collect():
         counts[r.part] = np.frombuffer(zlib.decompress(r.counts), np.uint32)
     return table.where("part is null").select("id", "sid", "n"), counts.reshape(-1)
 
 
-def blocks(texts: DataFrame, near: Near, counts: np.ndarray) -> DataFrame:
-    """(block, sid, w0, w1, ...) of each class and block; a partition gives out the rows of a class once."""
-    names = ["block", "sid", *(f"w{i}" for i in range(WORDS))]
-    shared = texts.sparkSession.sparkContext.broadcast(np.minimum(counts, np.iinfo(np.uint32).max))
+def _prefixes(texts: DataFrame, near: Near, counts: np.ndarray, schema: str, give) -> DataFrame:
+    """What ``give`` makes of each batch's prefixes: (owner, shingle, counter) of the first shingles of each new class, its
+    class ids, sizes and all its shingles."""
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen, freq = {}, set(), shared.value
@@ -145,21 +155,49 @@ def blocks(texts: DataFrame, near: Near, counts: np.ndarray) -> DataFrame:
                     seen.add(sid[i])
             if len(seen) > 1_000_000:
                 seen.clear()
-            vectors = bit_vectors(owner, h, len(n))
             keep = new[owner]
-            owner, h = owner[keep], h[keep]
-            f = freq[_bucket(h, near.counters)]
-            order = np.lexsort((h, f, owner))
-            owner, h, f = owner[order], h[order], f[order]
+            mine, g = owner[keep], h[keep]
+            f = freq[_bucket(g, len(freq))]
+            order = np.lexsort((g, f, mine))
+            mine, g, f = mine[order], g[order], f[order]
             size = np.where(new, n, 0)
-            rank = np.arange(len(h)) - (np.cumsum(size) - size)[owner]
-            prefix = n - np.ceil(near.similarity * n - 1e-9).astype(np.int64) + 1
-            on = rank < prefix[owner]
-            owner, h, f = owner[on], h[on], f[on]
-            low = np.uint64(_SIZE + _SIDE)
-            base, side = h >> low << low, np.full(len(h), WHOLE, np.uint64)
-            tiles = np.ceil(f / near.hot).astype(np.int64)
-            if (tiles > 1).any():  # a frequent shingle: one row for every pair of tiles that this text's tile is in
+            rank = np.arange(len(g)) - (np.cumsum(size) - size)[mine]
+            on = rank < (n - np.ceil(near.similarity * n - 1e-9).astype(np.int64) + 1)[mine]
+            yield give(mine[on], g[on], f[on], sid, n, owner, h)
+
+    return texts.mapInArrow(run, schema)
+
+
+def hot_shingles(texts: DataFrame, near: Near, counts: np.ndarray) -> dict[int, int]:
+    """Shingles with more than ``hot`` rows in their block, and how many.  Only those are counted whose counter leaves it open;
+    a row a class and partition, added up within partitions first."""
+    if not (counts > near.hot).any():
+        return {}
+
+    def give(owner, h, f, sid, n, *_) -> pa.RecordBatch:
+        key, many = np.unique(h[f > near.hot], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(many)], names=["key", "n"])
+
+    sums = _prefixes(texts, near, counts, "key long, n long", give).groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > near.hot)
+    return {r.key: r.n for r in sums.collect()}  # at most one for each ``hot`` prefix rows
+
+
+def blocks(texts: DataFrame, near: Near, counts: np.ndarray) -> DataFrame:
+    """(block, sid, w0, w1, ...) of each class and block; a partition gives out the rows of a class once."""
+    names = ["block", "sid", *(f"w{i}" for i in range(WORDS))]
+    hot = hot_shingles(texts, near, counts)
+    keys = np.array(sorted(hot), np.int64)
+    shared = texts.sparkSession.sparkContext.broadcast((keys, np.array([hot[k] for k in keys.tolist()], np.int64)))
+
+    def give(owner, h, f, sid, n, all_owner, all_h) -> pa.RecordBatch:
+        vectors = bit_vectors(all_owner, all_h, len(n))
+        low = np.uint64(_SIZE + _SIDE)
+        base, side = h >> low << low, np.full(len(h), WHOLE, np.uint64)
+        keys, rows_of = shared.value
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, h.view(np.int64)), len(keys) - 1)
+            tiles = np.where(keys[at] == h.view(np.int64), np.ceil(rows_of[at] / near.hot).astype(np.int64), 1)
+            if (tiles > 1).any():  # a row for every pair of tiles that this text's tile is in
                 rows = np.repeat(np.arange(len(h)), tiles)
                 other = np.arange(len(rows)) - np.repeat(np.cumsum(tiles) - tiles, tiles)
                 own = (sid[owner].view(np.uint64) % np.maximum(tiles, 1).astype(np.uint64)).astype(np.int64)[rows]
@@ -169,10 +207,10 @@ def blocks(texts: DataFrame, near: Near, counts: np.ndarray) -> DataFrame:
                 base = np.where(tiles[rows] > 1, mixed, h[rows]) >> low << low
                 side = np.where(tiles[rows] > 1, side, np.uint64(WHOLE))
                 owner = owner[rows]
-            block = base | side << np.uint64(_SIZE) | np.minimum(n[owner], (1 << _SIZE) - 1).astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(block.view(np.int64)), pa.array(sid[owner]), *(pa.array(np.ascontiguousarray(vectors[owner, i])) for i in range(WORDS))], names=names)
+        block = base | side << np.uint64(_SIZE) | np.minimum(n[owner], (1 << _SIZE) - 1).astype(np.uint64)
+        return pa.RecordBatch.from_arrays([pa.array(block.view(np.int64)), pa.array(sid[owner]), *(pa.array(np.ascontiguousarray(vectors[owner, i])) for i in range(WORDS))], names=names)
 
-    return texts.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return _prefixes(texts, near, counts, ", ".join(f"{c} long" for c in names), give)
 
 
 def close_pairs(base: np.ndarray, side: np.ndarray, n: np.ndarray, words: np.ndarray, near: Near) -> np.ndarray:
@@ -220,39 +258,66 @@ def close_pairs(base: np.ndarray, side: np.ndarray, n: np.ndarray, words: np.nda
     return np.concatenate(out)
 
 
-def candidates(rows: DataFrame, near: Near) -> DataFrame:
-    """(a, b): distinct pairs of classes that pass the bit count."""
+def _block_pairs(cols: list[np.ndarray], near: Near) -> np.ndarray:
+    """Pairs of classes within whole blocks, given as columns in order of their blocks."""
+    block = cols[0].view(np.uint64)
+    base, n = block >> np.uint64(_SIZE + _SIDE), (block & np.uint64((1 << _SIZE) - 1)).astype(np.int64)
+    twin = np.zeros(len(base), bool)  # blocks of one row are left out first
+    twin[1:] = base[1:] == base[:-1]
+    twin[:-1] |= twin[1:]
+    order = np.flatnonzero(twin)
+    order = order[np.lexsort((cols[1][order], n[order], base[order]))]
+    base, n, sid = base[order], n[order], cols[1][order]
+    side = (block[order] >> np.uint64(_SIZE) & np.uint64((1 << _SIDE) - 1)).astype(np.int64)
+    new = np.ones(len(base), bool)
+    new[1:] = (base[1:] != base[:-1]) | (sid[1:] != sid[:-1])
+    words = np.stack([c[order][new] for c in cols[2:]], 1).view(np.uint64)  # signed, numpy would count the bits of the absolute value
+    base, n, sid, side = base[new], n[new], sid[new], side[new]
+    pairs = sid[close_pairs(base, side, n, words, near)]
+    return np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
+
+
+def candidates(rows: DataFrame, near: Near, at_once: int = 50_000) -> DataFrame:
+    """(a, b): distinct pairs of classes that pass the bit count.
+
+    The rows of a partition come in order of their blocks; a task holds the rows of whole blocks, ``at_once`` of them or one block.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = list(batches)
-        if not got:
-            return
-        cols = [np.concatenate([b.column(i).to_numpy() for b in got]) for i in range(2 + WORDS)]
-        block = cols[0].view(np.uint64)
-        base, n = block >> np.uint64(_SIZE + _SIDE), (block & np.uint64((1 << _SIZE) - 1)).astype(np.int64)
-        order = np.argsort(base, kind="stable")
-        b = base[order]
-        twin = np.zeros(len(b), bool)  # blocks of one row are left out first
-        twin[1:] = b[1:] == b[:-1]
-        twin[:-1] |= twin[1:]
-        order = order[twin]
-        order = order[np.lexsort((cols[1][order], n[order], base[order]))]
-        base, n, sid = base[order], n[order], cols[1][order]
-        side = (block[order] >> np.uint64(_SIZE) & np.uint64((1 << _SIDE) - 1)).astype(np.int64)
-        new = np.ones(len(base), bool)
-        new[1:] = (base[1:] != base[:-1]) | (sid[1:] != sid[:-1])
-        words = np.stack([c[order][new] for c in cols[2:]], 1).view(np.uint64)  # signed, numpy would count the bits of the absolute value
-        base, n, sid, side = base[new], n[new], sid[new], side[new]
-        pairs = sid[close_pairs(base, side, n, words, near)]
-        pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
-
-    placed = rows.repartition(F.shiftrightunsigned("block", _SIZE + _SIDE))
+        held: list[list[np.ndarray]] = []
+
+        def give(cols: list[np.ndarray]) -> pa.RecordBatch:
+            pairs = _block_pairs(cols, near)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
+
+        for b in batches:
+            held.append([b.column(i).to_numpy() for i in range(2 + WORDS)])
+            if sum(len(c[0]) for c in held) < at_once:
+                continue
+            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+            base = cols[0].view(np.uint64) >> np.uint64(_SIZE + _SIDE)
+            last = int(np.flatnonzero(base != base[-1])[-1]) + 1 if (base != base[-1]).any() else 0
+            if last:
+                yield give([c[:last] for c in cols])
+            held = [[c[last:].copy() for c in cols]]
+        if held:
+            yield give([np.concatenate(x) for x in zip(*held, strict=True)])
+
+    placed = rows.repartition(F.shiftrightunsigned("block", _SIZE + _SIDE)).sortWithinPartitions("block")
     return placed.mapInArrow(run, "a long, b long").distinct()
 
 
-def similar(pairs: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
-    """(a, b, similarity) of the pairs of ids whose texts reach the similarity, computed on the texts."""
+def similar(pairs: DataFrame, texts: DataFrame, reps: DataFrame, near: Near) -> DataFrame:
+    """(a, b, similarity) of the pairs of classes whose texts reach the similarity, computed on the texts.
+
+    ``reps`` (sid, rep) names the text that stands for a class; of several texts with that id the one of the class is taken.
+    """
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {}
+        for b in batches:
+            sid = set_ids(*token_sets(b.column(1).to_pylist(), near, known))
+            yield b.filter(pa.array(sid == b.column(0).to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, last = near.words, {}
@@ -275,10 +340,11 @@ def similar(pairs: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
             on = pa.array(np.flatnonzero(got >= near.similarity - 1e-12))
             yield pa.RecordBatch.from_arrays([b.column(0).take(on), b.column(1).take(on), pa.array(got).take(on)], names=["a", "b", "similarity"])
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    bodies = settle(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "bodies")
-    left = bodies.select(F.col("id").alias("a"), F.col("body").alias("x"))
-    right = bodies.select(F.col("id").alias("b"), F.col("body").alias("y"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(reps, "sid")
+    found = texts.join(wanted.withColumnRenamed("rep", "id"), "id").select("sid", "body").mapInArrow(own, "sid long, body string")
+    bodies = settle(found.dropDuplicates(["sid"]), "bodies")
+    left = bodies.select(F.col("sid").alias("a"), F.col("body").alias("x"))
+    right = bodies.select(F.col("sid").alias("b"), F.col("body").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, similarity double")
 
 
@@ -298,13 +364,14 @@ def near_duplicates(df: DataFrame, key: str, text: str, near: Near = Near()) ->
     """
     texts = _texts(df, key, text)
     members, counts = census(texts, near)
-    rep = members.groupBy("sid").agg(F.min("id").alias("rep"))
-    members = settle(members.distinct().join(rep, "sid"), "members")
-    classes = members.where(F.col("id") == F.col("rep")).select("sid", "rep").distinct()
-    found = candidates(blocks(texts, near, counts), near)
-    pairs = found.join(classes.select(F.col("sid").alias("a"), F.col("rep").alias("ra")), "a").join(classes.select(F.col("sid").alias("b"), F.col("rep").alias("rb")), "b")
-    pairs = settle(pairs.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).where(F.col("a") != F.col("b")), "pairs")
-    return Result(members.select("id", "rep", "n"), settle(similar(pairs, texts, near), "links"))
+    reps = members.groupBy("sid").agg(F.min("id").alias("rep"))
+    members = settle(members.distinct().join(reps, "sid"), "members")
+    reps = members.where(F.col("id") == F.col("rep")).select("sid", "rep").distinct()
+    pairs = settle(candidates(blocks(texts, near, counts), near), "pairs")
+    links = similar(pairs, texts, reps, near).join(reps.select(F.col("sid").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("sid").alias("b"), F.col("rep").alias("rb")), "b")
+    # a key with several texts has several classes, so two of them may have one name
+    links = links.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "similarity").where("a != b").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    return Result(members.select("id", "rep", "n"), settle(links, "links"))
 
 
 def expanded(result: Result) -> DataFrame:
@@ -321,6 +388,7 @@ def components(links: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFram
 
     A large star hangs the larger neighbours of a node on its smallest one, a small star the node and its smaller
     neighbours; both keep the components and halve the paths, so the rounds grow with the logarithm of the longest path.
+    Raises if ``rounds`` don't settle them.
     """
     edges = settle(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
     for _ in range(rounds):
@@ -334,6 +402,8 @@ def components(links: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFram
         if new.count() == edges.count() and new.exceptAll(edges).isEmpty():
             break
         edges = new
+    else:
+        raise RuntimeError(f"the components haven't settled in {rounds} rounds")
     return nodes.join(edges.groupBy("u").agg(F.min("v").alias("root")), nodes["id"] == F.col("u"), "left").select("id", F.coalesce("root", "id").alias("root"))
 
 

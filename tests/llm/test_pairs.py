@@ -138,3 +138,51 @@ def test_nearest_of_unfit_and_equal_vectors(spark):
     assert set(got) == {*range(20), 40}
     assert list(got[19][k] for k in range(1, 6)) == [0, 1, 2, 3, 4] and [got[2][k] for k in range(1, 6)] == [0, 1, 3, 4, 5]
     assert knn.nearest(df.limit(0), "id", "chunk_index", "embedding", "ingested_at", knn.Graphs(dim=8)).count() == 0
+
+
+def test_near_duplicates_of_a_hot_shingle_and_streamed_blocks(spark):
+    """Blocks cut into tiles, and blocks that batches of rows cut anywhere, give the same pairs as brute force."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for i in range(150):
+        body = list(rng.choice(words, 30))
+        texts.append(" ".join(["share", "this", "page", *body[:12]]) if i % 2 else " ".join(body))
+        if i % 3 == 0:
+            body[int(rng.integers(30))] = "changed"
+            texts.append(" ".join(body))
+    texts += ["only these five words here"] * 40 + [f"only these five words here {i % 7}" for i in range(60)]
+    near = neardup.Near(words=2, similarity=0.7, hot=10)
+
+    def shingles(t):
+        x = t.split()
+        return set(zip(x, x[1:]))
+
+    sets = [shingles(t) for t in texts]
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if sets[i] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.7 - 1e-12}
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").repartition(5)
+    texts_only = neardup._texts(df, "k", "t")
+    counts = np.full(1 << 20, 11, np.uint32)  # every counter leaves it open
+    hot = neardup.hot_shingles(texts_only, near, counts)
+    assert hot and all(n > 10 for n in hot.values())
+    for step in (1, 7, 50_000):
+        rows = neardup.blocks(texts_only, near, counts)
+        found = {tuple(sorted(r)) for r in neardup.candidates(rows, near, step).collect()}
+        assert found == {tuple(sorted(r)) for r in neardup.candidates(neardup.blocks(texts_only, neardup.Near(words=2, similarity=0.7), counts), near).collect()}
+    got = {(r.a, r.b) for r in neardup.expanded(neardup.near_duplicates(df, "k", "t", near)).collect()}
+    assert got == want
+
+
+def test_texts_of_a_repeated_key_are_compared_as_they_are(spark):
+    rows = [(1, "a b c d e f g h"), (1, "p q r s t u v w"), (2, "a b c d e f g h x"), (3, "p q r s t u v w x")]
+    df = spark.createDataFrame(rows, "k int, t string")
+    got = {(r.a, r.b) for r in neardup.near_duplicates(df, "k", "t", neardup.Near(words=2, similarity=0.8)).links.collect()}
+    assert got == {(1, 2), (1, 3)}
+
+
+def test_components_say_when_they_are_not_settled(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    nodes = spark.createDataFrame([(i,) for i in range(41)], "id long")
+    with pytest.raises(RuntimeError):
+        neardup.components(links, nodes, rounds=1)
+    assert {r.root for r in neardup.components(links, nodes).collect()} == {0}
