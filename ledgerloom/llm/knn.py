@@ -352,7 +352,7 @@ def _route(vectors: DataFrame, cells: Cells, graphs: Graphs) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array((offset[cell[row2]] + part).astype(np.int32)), pa.array(home), b.column(0).take(take), b.column(1).take(take)], names=["shard", "home", "item", "code"])
 
     # a task for each shard or so, however many bytes they have
-    return vectors.select("item", "code").mapInArrow(run, "shard int, home boolean, item long, code binary").repartition(int(cells.parts.sum()), "shard")
+    return vectors.select("item", "code").mapInArrow(run, "shard int, home boolean, item long, code binary").repartitionById(int(cells.parts.sum()), F.col("shard"))
 
 
 def _answers(routed: DataFrame, graphs: Graphs) -> DataFrame:
