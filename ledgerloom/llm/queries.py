@@ -84,8 +84,13 @@ def p5_found(spark: SparkSession, at: str) -> DataFrame:
 
 def p5_templates(spark: SparkSession, at: str) -> DataFrame:
     """The repeated templates of each site, with the documents they cover."""
-    rows = repeated.repeated_lines(_read(spark, at, "sections"))
-    return rows.select("site", "template", "n_docs", "site_docs").distinct()
+    return repeated.repeated_templates(_read(spark, at, "sections")).select("site", "template", "n_docs", "site_docs")
+
+
+def p5_slots(spark: SparkSession, at: str) -> DataFrame:
+    """Templates with slots learnt from lines that differ in some words, and how many different lines each has."""
+    rows = repeated.repeated_templates(_read(spark, at, "sections"), repeated.Cover(alike=0.6))
+    return rows.where(F.contains("template", F.lit(repeated.ANY)))
 
 
 def p5_clean(spark: SparkSession, at: str) -> DataFrame:
@@ -140,7 +145,7 @@ def p8_composition(spark: SparkSession, at: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_page_sizes, p2_found, p2_groups, p3_found, p3_pieces, p4_found, p4_neighbours, p5_found, p5_templates, p5_clean, p6_found, p6_bins, p7_found, p7_leaks, p8_found, p8_composition)}
+    return {f.__name__: f for f in (p1_found, p1_page_sizes, p2_found, p2_groups, p3_found, p3_pieces, p4_found, p4_neighbours, p5_found, p5_templates, p5_slots, p5_clean, p6_found, p6_bins, p7_found, p7_leaks, p8_found, p8_composition)}
 
 
 _LINES5 = r"""

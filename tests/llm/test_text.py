@@ -102,16 +102,43 @@ def test_repeated_lines(spark):
     assert repeated.repeated_lines(df.limit(0)).count() == 0
 
 
+def test_templates_sent_and_joined_are_the_same(spark):
+    rows = [(str(i), 1, "Share this", f"own {'abcdefghij'[i % 10]}{i}\nCopyright © {2000 + i} Site.\nE-mail us\ne mail  us", f"s{i % 3}", "") for i in range(30)] + [(str(i), 2, None, "Terms apply", None, "") for i in range(40, 44)]
+    df = _sections(spark, rows)
+    key = lambda r: (r.site or "", r.doc_id, r.sec_ord, r.ln, r.template, r.n_docs, r.site_docs)
+    sent = sorted(map(key, repeated.repeated_lines(df).collect()))
+    assert sent == sorted(map(key, repeated.repeated_lines(df, repeated.Cover(broadcast_templates=0)).collect()))
+    assert {r[4] for r in sent} == {"sharethis", "copyright0site", "emailus", "termsapply"} and len(sent) == 30 * 4 + 4
+
+
 def test_trees_merge_like_one_tree():
-    lines = [("s", f"line {i % 7} of {i}", str(i % 5)) for i in range(100)]
-    one = repeated.Tree()
-    for s, x, d in lines:
-        one.add(s, repeated.template(x), d)
-    many = [repeated.Tree() for _ in range(3)]
-    for i, (s, x, d) in enumerate(lines):
-        many[i % 3].add(s, repeated.template(x), d)
-    merged = {}
-    for t in many:
-        for s, k, docs in t.leaves():
-            merged.setdefault((s, k), set()).update(docs)
-    assert merged == {(s, k): docs for s, k, docs in one.leaves()}
+    lines = [("s", f"line {'abcdefg'[i % 7]} of {'xyz'[i % 3]}", str(i)) for i in range(100)] + [("t", "", "1")]
+
+    def grow(part, alike):
+        tree = repeated.Tree(alike)
+        for s, x, d in part:
+            if x := repeated.tokens(x):
+                tree.add(s, x, d)
+        return tree
+
+    for alike, want in ((1.0, 21), (0.5, 1)):
+        one, many = grow(lines, alike), repeated.Tree(alike)
+        for k in range(3):
+            for s, t, n in grow(lines[k::3], alike).templates():
+                many.add(s, t, None, n)
+        assert {t: n for _, t, n in one.templates()} == {t: n for _, t, n in many.templates()}
+        assert len(list(one.templates())) == want and sum(n for *_, n in one.templates()) == 100
+    assert [t for _, t, _ in grow(lines, 0.5).templates()] == ["line * of *"]
+
+
+def test_only_a_learnt_slot_finds_a_line_that_names_somebody(spark):
+    """No two of these lines are the same, so no line is repeated; the template is, and its documents are counted exactly."""
+    names = ["asha", "ravi", "meena", "john", "lata", "omar", "kiran", "tara", "dev", "nila"]
+    rows = [(str(i), 1, None, f"Share it with {n.title()} today\nA fact of {n} that no other document has {n}\nplain {n}", "s", "") for i, n in enumerate(names)]
+    rows += [(str(i), 2, None, f"Share it with {n.title()} today", "s", "") for i, n in enumerate(names[:3])] + [(str(i), 1, None, "nothing", "s", "") for i in range(20, 25)]
+    df = _sections(spark, rows).repartition(4)
+    assert {r.template for r in repeated.repeated_templates(df).collect()} == {"nothing"}
+    got = {r.template: (r.n_docs, r.site_docs, r.n_variants) for r in repeated.repeated_templates(df, repeated.Cover(alike=0.6)).collect()}
+    assert got["shareitwith*today"] == (10, 15, 10) and "plain*" not in got
+    hits = {(r.doc_id, r.sec_ord, r.ln) for r in repeated.repeated_lines(df, repeated.Cover(alike=0.6)).where("template = 'shareitwith*today'").collect()}
+    assert hits == {(str(i), 1, 0) for i in range(10)} | {(str(i), 2, 0) for i in range(3)}
