@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import logging
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 from typing import Protocol
 
@@ -17,6 +18,9 @@ from ledgerloom.config import EngineConfig
 from ledgerloom.functions.text import STOP
 
 
+log = logging.getLogger(__name__)
+
+
 class Embedder(Protocol):
     """Made once a worker, then called with lists of texts."""
 
@@ -49,6 +53,8 @@ class OnnxEmbedder:
         self._model = self._model or self._load()
         tokenizer, model = self._model
         coded = tokenizer.encode_batch(texts)
+        if cut := sum(bool(c.overflowing) for c in coded):
+            log.warning("%d of %d texts are longer than %d tokens; their ends are not embedded", cut, len(texts), self.max_tokens)
         out = np.zeros((len(texts), self.dim), np.float32)
         order = np.argsort([-len(c.ids) for c in coded], kind="stable")
         for a in range(0, len(order), self.batch):
@@ -68,6 +74,66 @@ class OnnxEmbedder:
         return out
 
 
+class TransformerEmbedder:
+    """The same encoder by another library, where that is installed: slower to load and larger in memory."""
+
+    name = "transformer"
+
+    def __init__(self, model: str, dim: int = 384, max_tokens: int = 512, batch: int = 16):
+        self.model, self.dim, self.max_tokens, self.batch, self._model = model, dim, max_tokens, batch, None
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        if self._model is None:
+            from sentence_transformers import SentenceTransformer
+
+            self._model = SentenceTransformer(self.model)
+            self._model.max_seq_length = self.max_tokens
+        out = np.asarray(self._model.encode(texts, batch_size=self.batch, normalize_embeddings=True, show_progress_bar=False, convert_to_numpy=True), np.float32)
+        if len(texts) and out.shape[1] != self.dim:
+            raise RuntimeError(f"the model gives {out.shape[1]} dimensions, not {self.dim}")
+        return out.reshape(len(texts), self.dim)
+
+
+class FirstAvailable:
+    """The first of several embedders that can encode on this worker; which one that is, is settled once and logged.
+
+    All must give the same vectors, else questions and documents don't meet.
+    """
+
+    def __init__(self, *options: Embedder):
+        self.options, self.dim, self.chosen = options, options[0].dim, None
+        if any(o.dim != self.dim for o in options):
+            raise ValueError("embedders of different dimensions")
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        if self.chosen is None:
+            for option in self.options:
+                try:
+                    option.encode(["probe"])
+                    self.chosen = option
+                    break
+                except Exception as error:  # noqa: BLE001 - a missing file, a missing library, a broken model
+                    log.warning("embedder %s isn't available: %s: %s", getattr(option, "name", type(option).__name__), type(error).__name__, error)
+            else:
+                raise RuntimeError("no embedder is available")
+        return self.chosen.encode(texts)
+
+
+BACKENDS = ("onnx", "transformer", "hashed")
+
+
+def backend(name: str, model: str = "", dim: int = 384, max_tokens: int = 512) -> Embedder:
+    """An embedder by name: onnx falls back to transformer, the others stand alone."""
+    make: dict[str, Callable[[], Embedder]] = {
+        "onnx": lambda: FirstAvailable(OnnxEmbedder(model, dim, max_tokens), TransformerEmbedder(model, dim, max_tokens)),
+        "transformer": lambda: TransformerEmbedder(model, dim, max_tokens),
+        "hashed": lambda: HashedEmbedder(dim),
+    }
+    if name not in make:
+        raise ValueError(f"the backend must be one of {', '.join(BACKENDS)}, not {name!r}")
+    return make[name]()
+
+
 def embed(df: DataFrame, text: str, embedder: Embedder) -> DataFrame:
     """``df`` with ``embedding``; a null text has a null one."""
     out = df.schema.simpleString()[7:-1] + ",embedding:array<float>"
@@ -77,7 +143,10 @@ def embed(df: DataFrame, text: str, embedder: Embedder) -> DataFrame:
             on = b[text].notna().to_numpy()
             vectors = np.zeros((len(b), embedder.dim), np.float32)
             if on.any():
-                vectors[on] = embedder.encode(b.loc[on, text].tolist())
+                got = embedder.encode(b.loc[on, text].tolist())
+                if len(got) != on.sum():
+                    raise RuntimeError(f"the embedder gave {len(got)} vectors for {on.sum()} texts")
+                vectors[on] = got
             yield b.assign(embedding=[v if o else None for v, o in zip(vectors, on, strict=True)])
 
     return df.mapInPandas(run, f"struct<{out}>")

@@ -39,13 +39,24 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def build(chunks: DataFrame, root: str, name: str, stamp: str, rebuild: bool = False) -> DataFrame:
-    """Write ``chunks`` (with ``embedding``) as the index ``name`` below ``root`` and read it; an index that is there stays unless told."""
+    """Write ``chunks`` (with ``embedding``) as the index ``name`` below ``root`` and read it.
+
+    The name is that of the content, so an index that is there stays, unless told.  A chunk without a vector, or whose vector
+    has another length than the others', is an error, and no index is left.
+    """
     spark = chunks.sparkSession
     path = f"{root}/index_{name}"
     if rebuild or not exists(spark, path):
         rows = chunks.withColumn("ingested_at", F.lit(stamp)).withColumn("id", row_id(F.col("url"), F.col("section"), F.col("text"))).withColumnRenamed("text", "document")
         columns = ["id", "chunk_index", "doc_id", "scheme", "title", "section", "url", "ingested_at", "document", "n_merged", "embedding"]
         rows.select(*[c for c in columns if c in rows.columns]).write.mode("overwrite").parquet(path)
+        if "embedding" in rows.columns:
+            stored = spark.read.parquet(path)
+            n, vectors, least, most = stored.agg(F.count(F.lit(1)), F.count("embedding"), F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+            if n != vectors or least != most:
+                fs, p = _fs(spark, path)
+                fs.delete(p, True)
+                raise RuntimeError(f"{vectors} vectors of {least} to {most} elements for {n} chunks")
     return open_index(spark, root, name)
 
 

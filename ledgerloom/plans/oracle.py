@@ -7,6 +7,14 @@ from ledgerloom.functions import rules
 from ledgerloom.functions.text import CARRY, STOP
 
 CONFIG = EngineConfig()
+# what stands behind the texts of documents, by their number, so that rules find something
+PERSONAL = ("my pan is ABCDE1234F", "aadhaar 2345 6789 0123", "account number is 601234567", "otp is 482913", "cvv 123", "mail a.b@c.org", "call +91 98765 43210", "pan abcde1234f", "18 months")
+CLAIMS = ("You should buy it.", "Expected returns are high.", "It beats the market.", "There is no risk.", "Consider investing now.", "It is paid monthly.")
+
+
+def planted(cases: tuple[str, ...], every: int) -> str:
+    whens = " ".join(f"WHEN {i} THEN {quoted(c)}" for i, c in enumerate(cases))
+    return f"(SELECT doc_id, concat_ws(' ', text, CASE doc_id % {every} {whens} END) AS text FROM documents)"
 
 
 def quoted(s: str) -> str:
@@ -156,10 +164,10 @@ SELECT doc_id, sec_ord, NOT gone AND NOT (t = '' AND len(tb) = 0) AS kept, CASE
         "row_ids": "SELECT chunk_index, substr(sha256(concat_ws('|', url, section, text)), 1, 16) AS id FROM chunks",
         "duplicate_texts": "SELECT sha256(text) AS digest, min(doc_id) AS first_doc, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
         "index_latest": "SELECT id, chunk_index, doc_id, ingested_at FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY coalesce(ingested_at, '') DESC, chunk_index DESC, doc_id DESC) AS r FROM index_rows) WHERE r = 1",
-        "pii_scan": f"SELECT * FROM (SELECT doc_id, {case('text', rules.PII)} AS rule FROM documents) WHERE rule IS NOT NULL",
+        "pii_scan": f"SELECT * FROM (SELECT doc_id, {case('text', rules.PII)} AS rule FROM {planted(PERSONAL, 10)}) WHERE rule IS NOT NULL",
         "intent_classify": screen(),
         "scheme_detect": f"SELECT chunk_index, coalesce('scheme:' || {case('title', rules.SCHEMES)}, {case('title', rules.AMC)}, '') AS narrowed_by FROM chunks",
-        "advice_scan": f"SELECT * FROM (SELECT doc_id, {case('text', rules.DRIFT)} AS rule FROM documents) WHERE rule IS NOT NULL",
+        "advice_scan": f"SELECT * FROM (SELECT doc_id, {case('text', rules.DRIFT)} AS rule FROM {planted(CLAIMS, 8)}) WHERE rule IS NOT NULL",
         "standalone_flag": f"SELECT id, coalesce(regexp_matches(question, {quoted(rules.STANDALONE)}), false) AS alone FROM in_scope",
         "sentence_cap": f"SELECT doc_id, md5(CASE WHEN len(ss) > 3 THEN array_to_string(ss[1:3], ' ') ELSE trim(text, ' ') END) AS digest FROM (SELECT doc_id, text, list_filter(list_transform({split}, lambda s: trim(s, ' ')), lambda s: s <> '') AS ss FROM documents WHERE text IS NOT NULL)",
         "number_tokens": f"SELECT doc_id, len(n)::INTEGER AS numbers, md5(array_to_string(list_sort(n), ' ')) AS digest FROM (SELECT doc_id, {numbers('text')} AS n FROM documents WHERE text IS NOT NULL)",
@@ -167,6 +175,12 @@ SELECT doc_id, sec_ord, NOT gone AND NOT (t = '' AND len(tb) = 0) AS kept, CASE
         "citation_resolve": r"SELECT chunk_index, coalesce(list_filter(list_transform(regexp_extract_all(regexp_replace(draft, '【(\d+)】', '[\1]', 'g'), '\[(\d+)\]', 1), lambda x: x::INTEGER), lambda x: x BETWEEN 1 AND 2)[1], 1) AS cited, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(draft, '【(\d+)】', '[\1]', 'g'), '\[\d+\]', '', 'g'), '\s+\.', '.', 'g'), '\.\.($|[^.])', '.\1', 'g'), ' ')) AS digest FROM (SELECT chunk_index, text || ' 【' || chunk_index % 4 || '】 [1].' AS draft FROM chunks)",
         "history_window_3": history(3),
         "history_window_10": history(10),
+        "private_turns": """
+WITH t AS (SELECT user_id AS conv_id, event_id AS turn, event_id % 2 = 0 AS mine, CASE WHEN event_id % 7 = 0 THEN 'pan ABCDE1234F ' ELSE '' END || event_type AS content, CASE WHEN event_id % 5 = 0 THEN 'generation_error' WHEN event_id % 11 <> 0 THEN 'answered' END AS status FROM events),
+u AS (SELECT *, CASE WHEN mine THEN NOT contains(content, 'ABCDE1234F') ELSE coalesce(status = 'answered', false) END AS usable FROM t),
+k AS (SELECT conv_id, turn, CASE WHEN mine THEN 'USER: ' ELSE 'ASSISTANT: ' END || content AS line, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM u WHERE usable),
+b AS (SELECT conv_id, turn, coalesce(sum(usable::INTEGER) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM u)
+SELECT b.conv_id, b.turn, count(k.line) AS n, coalesce(string_agg(k.line, chr(10) ORDER BY place), '') AS transcript FROM b LEFT JOIN k ON k.conv_id = b.conv_id AND k.place BETWEEN b.seen - 3 AND b.seen GROUP BY b.conv_id, b.turn""",
         "allowlist": "SELECT chunk_index, url FROM chunks WHERE url IN (SELECT url FROM sources WHERE allowed AND url IS NOT NULL)",
         "source_urls": r"SELECT doc_id, CASE WHEN regexp_matches(url, '(?i)^https?://[^/]+') THEN 'https://' || lower(regexp_extract(url, '(?i)^https?://([^/]+)', 1)) || regexp_replace(regexp_replace(url, '(?i)^https?://[^/]+', ''), '/+$', '') ELSE url END AS url FROM sources",
         "registry_lines": "SELECT doc_id, '| ' || coalesce(doc_id, '') || ' | ' || coalesce(scheme, '') || ' | ' || coalesce(title, '') || ' | ' || coalesce(url, '') || ' | ' || coalesce(allowed::VARCHAR, '') || ' |' AS line FROM sources",

@@ -216,10 +216,17 @@ def index_latest(spark: SparkSession, at: str) -> DataFrame:
     return store.latest(read(spark, at, "index_rows"))
 
 
+def _planted(spark: SparkSession, at: str, cases: tuple[str, ...], every: int) -> DataFrame:
+    """All documents, each with the case of its number modulo ``every`` behind its text, if there is one."""
+    rows = read(spark, at, "documents").select("doc_id", "text")
+    case = F.get(F.array(*map(F.lit, cases)), F.pmod("doc_id", F.lit(every)).cast("int"))
+    return rows.select("doc_id", F.concat_ws(" ", "text", case).alias("text"))
+
+
 @query
 def pii_scan(spark: SparkSession, at: str) -> DataFrame:
-    """Documents in which a rule finds personal data."""
-    return read(spark, at, "documents").select("doc_id", rules.pii(F.col("text")).alias("rule")).where("rule is not null")
+    """Documents, some with personal data behind their text, and the rule that finds it."""
+    return _planted(spark, at, oracle.PERSONAL, 10).select("doc_id", rules.pii(F.col("text")).alias("rule")).where("rule is not null")
 
 
 @query
@@ -236,8 +243,18 @@ def scheme_detect(spark: SparkSession, at: str) -> DataFrame:
 
 @query
 def advice_scan(spark: SparkSession, at: str) -> DataFrame:
-    """Documents in the words of advice or performance claims."""
-    return read(spark, at, "documents").select("doc_id", rules.first_match(F.col("text"), rules.DRIFT).alias("rule")).where("rule is not null")
+    """Documents, some with words of advice or performance behind their text, and the rule that finds them."""
+    return _planted(spark, at, oracle.CLAIMS, 8).select("doc_id", rules.first_match(F.col("text"), rules.DRIFT).alias("rule")).where("rule is not null")
+
+
+@query
+def private_turns(spark: SparkSession, at: str) -> DataFrame:
+    """Turns of whose history personal data and failed answers take no part."""
+    said = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("pan ABCDE1234F "), "event_type")).otherwise(F.col("event_type"))
+    state = F.when(F.col("event_id") % 5 == 0, "generation_error").when(F.col("event_id") % 11 != 0, "answered")
+    turns = read(spark, at, "events").select(F.col("user_id").alias("conv_id"), F.col("event_id").alias("turn"), F.when(F.col("event_id") % 2 == 0, "user").otherwise("assistant").alias("role"), said.alias("content"), state.alias("status"))
+    rows = memory.history(turns, 4)
+    return rows.select("conv_id", "turn", F.size("history").alias("n"), memory.transcript(F.col("history")).alias("transcript"))
 
 
 @query
@@ -326,16 +343,32 @@ def recall_metrics(spark: SparkSession, at: str) -> DataFrame:
     return evaluate.metrics(evaluate.retrieval_hits(hits, chunks, items))
 
 
-@query
-def answers(spark: SparkSession, at: str) -> DataFrame:
-    """Extractive answers to all held-out questions, over all chunks."""
+def _answered(spark: SparkSession, at: str) -> tuple[DataFrame, DataFrame]:
+    """Answers to all held-out questions over all chunks, and the chunks."""
     model = embed.HashedEmbedder()
     columns = ["chunk_index", "doc_id", "scheme", "title", "section", "url", "text"]
     # the vectors are used twice
     chunks = settle(embed.embed(read(spark, at, "chunks").select(columns), "text", model), "vectors")
     asked = read(spark, at, "in_scope").select(F.col("id").alias("qid"), "question", F.array().cast("array<struct<role:string,content:string>>").alias("history"))
-    out = answering.answer(asked, chunks, read(spark, at, "sources"), lambda df, c: embed.embed(df, c, model))
-    return out.select("qid", "status", "rule", "narrowed_by", "link_url", "n_chunks")
+    return answering.answer(asked, chunks, read(spark, at, "sources"), lambda df, c: embed.embed(df, c, model)), chunks
+
+
+@query
+def answers(spark: SparkSession, at: str) -> DataFrame:
+    """Extractive answers to all held-out questions, over all chunks."""
+    return _answered(spark, at)[0].select("qid", "status", "rule", "narrowed_by", "link_url", "rewritten", "n_chunks")
+
+
+@query
+def quality_gate(spark: SparkSession, at: str) -> DataFrame:
+    """The evaluation of these answers: S1 to S7 and the screening of planted personal data.  Extractive answers of a hashed embedder
+    don't pass it."""
+    found, items, src = settle(_answered(spark, at)[0], "answers"), read(spark, at, "in_scope"), read(spark, at, "sources")
+    place = found.select("qid", F.inline("chunks")).select("qid", "pos", "chunk_index")
+    hits = settle(evaluate.retrieval_hits(place, read(spark, at, "chunks"), items), "hits")
+    again = place.withColumn("run", F.lit(1)).unionByName(place.withColumn("run", F.lit(2)))
+    private = items.select(F.concat_ws(" ", "question", F.lit("my pan is ABCDE1234F")).alias("question"), F.array(F.lit("ABCDE1234F")).alias("secrets"))
+    return evaluate.gate(hits, settle(evaluate.pipeline_checks(found, items, src), "checks"), evaluate.deterministic(again), evaluate.refusals(private))
 
 
 def queries() -> dict[str, Query]:
