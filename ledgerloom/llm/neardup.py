@@ -7,7 +7,7 @@ count exceeds the radius ``(1 - t) / (1 + t) * (n + m)`` can't reach the similar
 Comparing all tiles with all would be quadratic, so texts are compared within blocks.  All shingles are ordered, rare
 ones first, and a text enters the blocks of its first ``n - ceil(t * n) + 1`` shingles; two texts at or above ``t``
 always meet in one of them.  The order comes from a table of counters over all shingles; it grows with the collection up
-to ``counters`` cells (64 MB), and a collision changes the order but loses no pair.  Within a block rows are sorted by set size, the
+to ``counters`` cells (16 MB, which every task writes once), and a collision changes the order but loses no pair.  Within a block rows are sorted by set size, the
 population count of the full vector; tiles that differ in it beyond the radius are skipped.  Blocks stream through a task one
 after the other, so its memory is that of the largest block.  A shingle with more than ``hot`` rows of its own, counted exactly
 wherever its counter leaves that open, is cut into pairs of tiles that go to different tasks.  What is left is checked on
@@ -42,14 +42,18 @@ WHOLE, LEFT, RIGHT = 2, 0, 1
 
 @dataclass(frozen=True)
 class Near:
-    """Shingles of ``words`` words; pairs at or above ``similarity``; texts of fewer than ``least_tokens`` tokens take no part."""
+    """Shingles of ``words`` words; pairs at or above ``similarity``; texts of fewer than ``least_tokens`` tokens take no part.
+
+    ``counters``, ``tile``, ``hot`` and ``cut`` steer the work and change no result.
+    """
 
     words: int = 5
     similarity: float = 0.8
     least_tokens: int = 0
-    counters: int = 1 << 24
+    counters: int = 1 << 22
     tile: int = 512
     hot: int = 20_000
+    cut: int = 500_000
 
 
 def token_sets(texts: list[str | None], near: Near, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,9 +103,9 @@ def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def cells(texts: DataFrame, near: Near) -> int:
-    """Counters for the collection: about one for each two shingles, a word having some six characters; a power of two."""
+    """Counters for the collection: about one for each 16 shingles, a word having some six characters; a power of two."""
     chars = texts.agg(F.coalesce(F.sum(F.length("body")), F.lit(0))).first()[0]
-    return min(near.counters, 1 << max(20, math.ceil(math.log2(chars / 12 + 1))))
+    return min(near.counters, 1 << max(20, math.ceil(math.log2(chars / 96 + 1))))
 
 
 def census(texts: DataFrame, near: Near) -> tuple[DataFrame, np.ndarray]:
@@ -170,7 +174,8 @@ def _prefixes(texts: DataFrame, near: Near, counts: np.ndarray, schema: str, giv
 
 def hot_shingles(texts: DataFrame, near: Near, counts: np.ndarray) -> dict[int, int]:
     """Shingles with more than ``hot`` rows in their block, and how many.  Only those are counted whose counter leaves it open;
-    a row a class and partition, added up within partitions first."""
+    a row a class and partition, added up within partitions first.  The ``cut`` largest are cut; smaller ones beyond that, if there
+    are any, stay whole in one task."""
     if not (counts > near.hot).any():
         return {}
 
@@ -179,7 +184,7 @@ def hot_shingles(texts: DataFrame, near: Near, counts: np.ndarray) -> dict[int,
         return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(many)], names=["key", "n"])
 
     sums = _prefixes(texts, near, counts, "key long, n long", give).groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > near.hot)
-    return {r.key: r.n for r in sums.collect()}  # at most one for each ``hot`` prefix rows
+    return {r.key: r.n for r in sums.orderBy(F.desc("n"), "key").limit(near.cut).collect()}
 
 
 def blocks(texts: DataFrame, near: Near, counts: np.ndarray) -> DataFrame:
