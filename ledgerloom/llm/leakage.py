@@ -27,6 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.storage import spread
+
 TOKEN = re.compile(r"[A-Za-z0-9]+")
 
 # Words that measure, abbreviated or in full.
@@ -44,10 +46,15 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 @dataclass(frozen=True)
 class Windows:
-    """``passage`` tokens in a row of a passage are a leak, as is a whole question; a template join uses windows of up to that size.  ``least_words`` words must be in a window of whole parts."""
+    """``passage`` tokens in a row of a passage are a leak, as is a whole question; a template join uses windows of up to that size.
+
+    ``least_words`` words must be in a window of whole parts.  A passage with other numbers, names or units in it is a leak only if
+    that part (``exchanged``) of its windows is there: one sentence alone may have its frame from anywhere.
+    """
 
     passage: int = 12
     least_words: int = 3
+    exchanged: float = 0.5
     broadcast_windows: int = 1_000_000
 
 
@@ -177,7 +184,7 @@ def _slots(exact: np.ndarray, shape: np.ndarray, at: np.ndarray, size: int) -> l
     return out
 
 
-_ITEM = "item_id int, part string, whole boolean, size int, at int, needed int, key long, slots array<long>"
+_ITEM = "item_id int, part string, whole boolean, size int, at int, needed int, of int, key long, slots array<long>"
 
 
 def _part_windows(shape: np.ndarray, lengths: np.ndarray, part: str, windows: Windows) -> list[tuple[int, int]]:
@@ -211,7 +218,7 @@ def item_windows(items: DataFrame, item_key: str, passage: str, question: str, w
             size = windows.passage if part == "passage" else min(windows.passage, len(exact))
             h = hashes(shape, size) if size else []
             at = np.arange(len(h))
-            out += [(i, part, False, size, int(a), 1 if part == "passage" else len(h), int(k), s) for a, k, s in zip(at, np.asarray(h, np.uint64).view(np.int64), _slots(exact, shape, at, size), strict=True)]
+            out += [(i, part, False, size, int(a), 1 if part == "passage" else len(h), len(h), int(k), s) for a, k, s in zip(at, np.asarray(h, np.uint64).view(np.int64), _slots(exact, shape, at, size), strict=True)]
             whole = parts(text)
             exact, shape, at = coder.parts(whole)
             lengths = np.add.reduceat([len(TOKEN.findall(x)) for x in whole], np.r_[0, at[:-1] + 1]) if len(at) else at
@@ -219,8 +226,8 @@ def item_windows(items: DataFrame, item_key: str, passage: str, question: str, w
             needed = 1 if part == "passage" else len(own)
             for size, h in window_hashes(shape, sorted({z for _, z in own})):
                 at = np.array([a for a, z in own if z == size])
-                out += [(i, part, True, size, int(a), needed, int(k), s) for a, k, s in zip(at, h[at].view(np.int64), _slots(exact, shape, at, size), strict=True)]
-    return pd.DataFrame(out, columns=["item_id", "part", "whole", "size", "at", "needed", "key", "slots"]), kinds
+                out += [(i, part, True, size, int(a), needed, len(own), int(k), s) for a, k, s in zip(at, h[at].view(np.int64), _slots(exact, shape, at, size), strict=True)]
+    return pd.DataFrame(out, columns=["item_id", "part", "whole", "size", "at", "needed", "of", "key", "slots"]), kinds
 
 
 class Keys:
@@ -267,7 +274,7 @@ def document_windows(docs: DataFrame, doc_key: str, text: str, kinds: dict[str,
                     )
 
     rows = docs.where(F.col(doc_key).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_key).alias("doc_id"), F.col(text).alias("body"))
-    return rows.mapInArrow(run, f"doc_id {kind}, whole boolean, size int, at int, key long, slots array<long>")
+    return spread(rows).mapInArrow(run, f"doc_id {kind}, whole boolean, size int, at int, key long, slots array<long>")
 
 
 def one_to_one(a, b):
@@ -279,15 +286,15 @@ def one_to_one(a, b):
 def leaks(docs: DataFrame, items: DataFrame, *, doc_key: str = "doc_id", text: str = "text", item_key: str = "id", passage: str = "passage", question: str = "question", windows: Windows = Windows(), exchanged: bool = True) -> DataFrame:
     """(doc_id, item_id, part, literal, n_windows): documents with a part of an item.
 
-    ``literal`` leaks have all tokens of the run; the others have it with consistently exchanged numbers, names or
-    units, of whatever number of tokens; without ``exchanged`` only literal ones are sought.  A question counts only where all its windows follow each other.  Null keys and texts are left out; texts
+    ``literal`` leaks have all tokens of the run; the others have half of the passage's windows, or the whole question, with consistently
+    exchanged numbers, names or units, of whatever number of tokens; without ``exchanged`` only literal ones are sought.  A question counts only where all its windows follow each other.  Null keys and texts are left out; texts
     without tokens leak nothing; documents with one key count together; no items give no rows.
     """
     spark = docs.sparkSession
     pdf, kinds = item_windows(items, item_key, passage, question, windows)
     if not exchanged:
         pdf = pdf[~pdf["whole"].astype(bool)]
-    side = spark.createDataFrame([(int(r[0]), r[1], bool(r[2]), int(r[3]), int(r[4]), int(r[5]), int(r[6]), r[7]) for r in pdf.itertuples(index=False)], _ITEM)
+    side = spark.createDataFrame([(int(r[0]), r[1], bool(r[2]), int(r[3]), int(r[4]), int(r[5]), int(r[6]), int(r[7]), r[8]) for r in pdf.itertuples(index=False)], _ITEM)
     groups = {(bool(w), int(z)): g.to_numpy(np.int64).view(np.uint64) for (w, z), g in pdf.groupby(["whole", "size"])["key"]}
     sizes = {w: sorted(z for x, z in groups if x == w) for w in (False, True)}
     few = len(pdf) <= windows.broadcast_windows
@@ -298,10 +305,12 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc_key: str = "doc_id", text: s
     both = d.join(i, (F.col("d.key") == F.col("i.key")) & (F.col("d.size") == F.col("i.size")) & (F.col("d.whole") == F.col("i.whole")))
     same = F.col("d.slots") == F.col("i.slots")
     checked = both.select(
-        "d.doc_id", "i.item_id", "i.part", "i.needed", "i.whole", F.col("i.at").alias("item_at"), (same & ~F.col("i.whole")).alias("literal"),
+        "d.doc_id", "i.item_id", "i.part", "i.needed", "i.of", "i.whole", F.col("i.at").alias("item_at"), (same & ~F.col("i.whole")).alias("literal"),
         F.when(F.col("i.part") == "question", F.col("d.at") - F.col("i.at")).alias("line"),
         (same | one_to_one(F.col("d.slots"), F.col("i.slots"))).alias("consistent"),
     ).where("consistent" if exchanged else "literal")
     # windows of a question in a row: all of them, at one distance
-    runs = checked.groupBy("doc_id", "item_id", "part", "whole", "needed", "line").agg(F.count_distinct("item_at").alias("n"), F.count_distinct(F.when(F.col("literal"), F.col("item_at"))).alias("n_literal")).where(F.col("n") >= F.col("needed"))
+    runs = checked.groupBy("doc_id", "item_id", "part", "whole", "needed", "of", "line").agg(F.count_distinct("item_at").alias("n"), F.count_distinct(F.when(F.col("literal"), F.col("item_at"))).alias("n_literal"))
+    enough = F.when(F.col("part") == "question", F.col("needed")).otherwise(F.greatest(F.lit(1), F.ceil(F.col("of") * windows.exchanged)))
+    runs = runs.where((F.col("n_literal") >= F.col("needed")) | (F.col("n") >= enough))
     return runs.groupBy("doc_id", "item_id", "part").agg(F.max(F.col("n_literal") >= F.col("needed")).alias("literal"), F.max("n").cast("int").alias("n_windows"))
