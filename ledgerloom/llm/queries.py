@@ -171,8 +171,28 @@ def oracle_sql() -> dict[str, str]:
     """SQL for what SQL can say over whole tables; the others are tested against brute force in ``tests/llm``."""
     case = "(length(COLUMN) > 2000 OR len(regexp_extract_all(COLUMN, '[^SPACE]+')) > 250)".replace("SPACE", _SPACE)
     return {
+        "p2_found": """
+WITH t AS (SELECT chunk_index AS id, regexp_extract_all(lower(body), '[a-z0-9]+') AS ts FROM chunks WHERE body IS NOT NULL AND chunk_index IS NOT NULL),
+s AS (SELECT DISTINCT id, ts[i] || ' ' || ts[i + 1] || ' ' || ts[i + 2] AS run FROM (SELECT id, ts, unnest(range(1, len(ts) - 1)) AS i FROM t WHERE len(ts) >= 20)),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+shared AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM s a JOIN s b ON a.run = b.run AND a.id < b.id GROUP BY 1, 2)
+SELECT a AS chunk_a, b AS chunk_b FROM shared JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c >= 0.6 * (x.n + y.n - c) - 1e-9""",
         "p3_found": " UNION ".join(f"SELECT '{field}' AS field, doc_id, {pos} AS pos FROM {table} WHERE {case.replace('COLUMN', column)}" for field, table, pos, column in (("section.text", "sections", "sec_ord", "text"), ("chunk.text", "chunks", "chunk_index", "text"), ("chunk.body", "chunks", "chunk_index", "body"))),
         "p5_found": f"WITH {_LINES5} SELECT DISTINCT k.doc_id, k.sec_ord, k.ln FROM keyed k JOIN covered c ON k.template = c.template AND k.site IS NOT DISTINCT FROM c.site",
+        "p4_neighbours": """
+WITH v AS (SELECT id, chunk_index, coalesce(ingested_at, '') AS stamp, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM index_rows WHERE id IS NOT NULL AND chunk_index IS NOT NULL AND len(embedding) = 384),
+fit AS (SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+last AS (SELECT * FROM fit QUALIFY row_number() OVER (PARTITION BY id ORDER BY stamp DESC) = 1),
+pairs AS (SELECT a.chunk_index, b.chunk_index AS neighbour, list_cosine_similarity(a.e, b.e) AS s FROM last a JOIN last b ON a.chunk_index % 100 = 0 AND a.chunk_index <> b.chunk_index),
+best AS (SELECT *, row_number() OVER (PARTITION BY chunk_index ORDER BY s DESC, neighbour) AS rank FROM pairs QUALIFY rank <= 5)
+SELECT chunk_index, CAST(rank AS INTEGER) AS rank, neighbour, round(s, 3) AS similarity FROM best""",
+        "p5_clean": rf"""
+WITH {_LINES5},
+gone AS (SELECT DISTINCT k.site, k.doc_id, k.sec_ord, k.ln FROM keyed k JOIN covered c ON k.template = c.template AND k.site IS NOT DISTINCT FROM c.site),
+lists AS (SELECT site, doc_id, sec_ord, list(ln) AS gone FROM gone GROUP BY ALL),
+s AS (SELECT s.*, coalesce(l.gone, []) AS gone FROM sections s LEFT JOIN lists l ON s.doc_id = l.doc_id AND s.sec_ord = l.sec_ord AND s.site IS NOT DISTINCT FROM l.site),
+kept AS (SELECT doc_id, sec_ord, heading, text, gone, CASE WHEN text IS NOT NULL THEN array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(gone, CAST(i - 1 AS INTEGER))), chr(10)) END AS clean FROM s)
+SELECT DISTINCT doc_id, sec_ord, CAST(length(text) AS INTEGER) AS chars, CAST(length(clean) AS INTEGER) AS clean_chars, CASE WHEN NOT list_contains(gone, -1) THEN heading END AS heading FROM kept""",
         "p5_templates": f"WITH {_LINES5} SELECT site, template, n_docs, site_docs FROM covered",
         "p6_found": "SELECT DISTINCT doc_id FROM documents WHERE octet_length(encode(text)) + 1 > 4096",
         "p7_found": r"""
