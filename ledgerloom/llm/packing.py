@@ -86,7 +86,6 @@ def pack_documents(df: DataFrame, key: str, text: str, limits: Limits = Limits()
     are items of one token; copies and rows with the same key are items of their own; a null key stays null.
     The end mark bears no loss, every other token does.
     """
-    spark = df.sparkSession
     key_type = df.schema[key].dataType.simpleString()
     rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), F.octet_length(text).alias("n"), F.when(F.octet_length(text) >= limits.tokens, F.col(text)).alias("body"))
 
@@ -101,16 +100,59 @@ def pack_documents(df: DataFrame, key: str, text: str, limits: Limits = Limits()
             yield pd.DataFrame({"doc_id": b["doc_id"].iloc[rows].reset_index(drop=True), "piece": piece.astype("int32"), "n_pieces": count[rows].astype("int32"), "byte_start": flat[:, 0], "byte_end": flat[:, 1], "n_tokens": (flat[:, 1] - flat[:, 0] + last).astype("int32")})
 
     schema = f"doc_id {key_type}, piece int, n_pieces int, byte_start int, byte_end int, n_tokens int"
-    items = df.where(F.col(text).isNotNull()).count()
+    pieces = rows.mapInPandas(cut, schema)
+    loss = F.col("n_tokens") - (F.col("piece") == F.col("n_pieces") - 1).cast("int")
+    out = _filled(pieces.withColumn("n_loss", loss), df.where(F.col(text).isNotNull()).count(), limits, shard_items)
+    return out.drop("n_loss")
+
+
+def _filled(pieces: DataFrame, items: int, limits: Limits, shard_items: int) -> DataFrame:
+    """``pieces`` (doc_id, piece, n_tokens, n_loss, ...) with ``shard`` and ``bin``; items are spread evenly over shards."""
     shards = max(1, math.ceil(items / shard_items))
-    pieces = rows.mapInPandas(cut, schema).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "n_tokens"), F.lit(shards)).cast("int"))
+    shard = F.lit(0) if shards == 1 else F.pmod(F.xxhash64("doc_id", "piece", "n_tokens"), F.lit(shards)).cast("int")
+    pieces = pieces.withColumn("shard", shard)
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "piece", "n_tokens"], kind="stable").reset_index(drop=True)
-        tokens = pdf["n_tokens"].to_numpy(np.int64)
-        loss = tokens - (pdf["piece"] == pdf["n_pieces"] - 1).to_numpy(np.int64)
-        return pdf.assign(bin=pack(tokens, loss, limits))
-
-    if shards == 1:
-        pieces = pieces.withColumn("shard", F.lit(0))
-    return pieces.groupBy("shard").applyInPandas(fill, f"{schema}, shard int, bin long")
+        pdf = pdf.sort_values(["doc_id", "piece", "n_tokens", "n_loss"], kind="stable").reset_index(drop=True)
+        return pdf.assign(bin=pack(pdf["n_tokens"].to_numpy(np.int64), pdf["n_loss"].to_numpy(np.int64), limits))
+
+    return pieces.groupBy("shard").applyInPandas(fill, f"struct<{pieces.schema.simpleString()[7:-1]},bin:bigint>")
+
+
+def example_pieces(prompt: int, answer: int, limits: Limits) -> list[tuple[int, int]]:
+    """(tokens, loss-bearing tokens) of the pieces of an example, as few as both limits allow, in order.
+
+    >>> example_pieces(10, 30, Limits(tokens=25, loss=12)), example_pieces(3, 4, Limits())
+    ([(22, 12), (12, 12), (6, 6)], [(7, 4)])
+    """
+    out = []
+    while prompt + answer > 0 or not out:
+        head = min(prompt, limits.tokens)
+        tail = min(answer, limits.loss, limits.tokens - head)
+        out.append((head + tail, tail))
+        prompt, answer = prompt - head, answer - tail
+    return out
+
+
+def pack_examples(df: DataFrame, key: str, prompt: str, answer: str, limits: Limits = Limits(segments=16, loss=2048), shard_items: int = 20_000) -> DataFrame:
+    """Assign instruction examples to containers: a prompt, which bears no loss, and an answer, which does, with its end mark.
+
+    One row a piece: ``doc_id``, ``piece``, ``n_pieces``, ``n_tokens``, ``n_loss``, ``shard`` and ``bin``.  An example is cut only if it alone
+    exceeds a limit.  A null answer is no example; a null prompt is empty; repeated rows are examples of their own.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.where(F.col(answer).isNotNull()).select(F.col(key).alias("doc_id"), F.coalesce(F.octet_length(prompt), F.lit(0)).alias("p"), (F.octet_length(answer) + 1).alias("a"))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            p, a = b["p"].to_numpy(np.int64), b["a"].to_numpy(np.int64)
+            big = (p + a > limits.tokens) | (a > limits.loss)
+            spans = [example_pieces(int(x), int(y), limits) if o else [(x + y, y)] for x, y, o in zip(p, a, big, strict=True)]
+            count = np.array([len(s) for s in spans], int)
+            flat = np.array([x for s in spans for x in s], np.int32).reshape(-1, 2)
+            row = np.repeat(np.arange(len(b)), count)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            yield pd.DataFrame({"doc_id": b["doc_id"].iloc[row].reset_index(drop=True), "piece": piece.astype("int32"), "n_pieces": count[row].astype("int32"), "n_tokens": flat[:, 0], "n_loss": flat[:, 1]})
+
+    pieces = rows.mapInPandas(cut, f"doc_id {kind}, piece int, n_pieces int, n_tokens int, n_loss int")
+    return _filled(pieces, df.where(F.col(answer).isNotNull()).count(), limits, shard_items)

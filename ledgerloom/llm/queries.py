@@ -115,6 +115,20 @@ def p6_bins(spark: SparkSession, at: str) -> DataFrame:
     return out.withColumn("fill", F.round(F.col("tokens") / (F.col("bins") * packing.Limits().tokens), 6))
 
 
+def p6_instructions(spark: SparkSession, at: str) -> DataFrame:
+    """Chunks as instruction examples (title and section ask, the body answers) in containers of 4,096 tokens, 16 examples and 2,048
+    loss-bearing tokens: how full they are by each limit, and how many containers each limit closes."""
+    limits = packing.Limits(segments=16, loss=2048)
+    rows = _read(spark, at, "chunks").select("chunk_index", F.concat_ws(" ", "title", "section").alias("ask"), "body")
+    bins = packing.pack_examples(rows, "chunk_index", "ask", "body", limits).groupBy("shard", "bin").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("segments"), F.sum("n_loss").alias("loss"))
+    full = lambda c, most: F.round(F.sum(c) / (F.count(F.lit(1)) * most), 6)
+    return bins.groupBy("shard").agg(
+        F.count(F.lit(1)).alias("bins"), F.sum("segments").alias("segments"), F.sum("tokens").alias("tokens"), F.sum("loss").alias("loss"), F.max("tokens").alias("most_tokens"), F.max("segments").alias("most_segments"), F.max("loss").alias("most_loss"),
+        full("tokens", limits.tokens).alias("token_fill"), full("segments", limits.segments).alias("segment_fill"), full("loss", limits.loss).alias("loss_fill"),
+        F.count_if(F.col("segments") == limits.segments).alias("closed_by_segments"), F.count_if(F.col("loss") > limits.loss - 64).alias("closed_by_loss"),
+    )
+
+
 def _leaks(spark: SparkSession, at: str, exchanged: bool = True) -> DataFrame:
     return leakage.leaks(_read(spark, at, "documents"), _read(spark, at, "in_scope"), exchanged=exchanged)
 
@@ -145,7 +159,7 @@ def p8_composition(spark: SparkSession, at: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_page_sizes, p2_found, p2_groups, p3_found, p3_pieces, p4_found, p4_neighbours, p5_found, p5_templates, p5_slots, p5_clean, p6_found, p6_bins, p7_found, p7_leaks, p8_found, p8_composition)}
+    return {f.__name__: f for f in (p1_found, p1_page_sizes, p2_found, p2_groups, p3_found, p3_pieces, p4_found, p4_neighbours, p5_found, p5_templates, p5_slots, p5_clean, p6_found, p6_bins, p6_instructions, p7_found, p7_leaks, p8_found, p8_composition)}
 
 
 _LINES5 = r"""

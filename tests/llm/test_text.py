@@ -142,3 +142,21 @@ def test_only_a_learnt_slot_finds_a_line_that_names_somebody(spark):
     assert got["shareitwith*today"] == (10, 15, 10) and "plain*" not in got
     hits = {(r.doc_id, r.sec_ord, r.ln) for r in repeated.repeated_lines(df, repeated.Cover(alike=0.6)).where("template = 'shareitwith*today'").collect()}
     assert hits == {(str(i), 1, 0) for i in range(10)} | {(str(i), 2, 0) for i in range(3)}
+
+
+def test_examples_are_packed_under_three_limits(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, "q" * int(rng.integers(0, 60)), "a" * int(rng.integers(1, 40))) for i in range(400)] + [(900, "q" * 300, "a" * 100), (901, None, "abc"), (902, "q", None), (903, "q", "")]
+    df = spark.createDataFrame(rows, "k int, ask string, said string")
+    limits = packing.Limits(tokens=100, segments=3, loss=40)
+    out = packing.pack_examples(df, "k", "ask", "said", limits, shard_items=150).collect()
+    by, of = {}, {}
+    for r in out:
+        by.setdefault((r.shard, r.bin), []).append(r)
+        of.setdefault(r.doc_id, []).append(r)
+    assert all(sum(r.n_tokens for r in b) <= 100 and len(b) <= 3 and sum(r.n_loss for r in b) <= 40 for b in by.values())
+    want = {k: (len(q or ""), len(a) + 1) for k, q, a in rows if a is not None}
+    assert {k: (sum(r.n_tokens - r.n_loss for r in v), sum(r.n_loss for r in v)) for k, v in of.items()} == want
+    assert all(len(v) == 1 or sum(want[k]) > 100 or want[k][1] > 40 for k, v in of.items()) and len(of[900]) > 3
+    assert any(len(b) == 3 for b in by.values()) and any(sum(r.n_loss for r in b) > 36 for b in by.values())
+    assert packing.pack_examples(df.limit(0), "k", "ask", "said").count() == 0
