@@ -14,7 +14,7 @@ from ledgerloom.operators import chunk, embed, evaluate, extract, lexical, memor
 from ledgerloom.plans import oracle
 from ledgerloom.shipping import ship
 from ledgerloom.sources import registry as sources
-from ledgerloom.storage import settle
+from ledgerloom.storage import settle, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -93,7 +93,7 @@ def _paired(spark: SparkSession, at: str) -> tuple[DataFrame, DataFrame]:
     n = vectors.count()
     number = lambda key: F.pmod(F.col(key) - 1, F.lit(n)).alias("vec_id")
     docs = read(spark, at, "documents").select(number("doc_id"), (F.col("doc_id") - 1).alias("n"), "text")
-    chunks = vectors.join(docs, "vec_id", "left").select(F.coalesce("n", "vec_id").alias("chunk_index"), "doc_id", "text", "embedding")
+    chunks = spread(vectors).join(docs, "vec_id", "left").select(F.coalesce("n", "vec_id").alias("chunk_index"), "doc_id", "text", "embedding")
     items = read(spark, at, "in_scope").select(number("id"), "id", "question")
     kinds = F.explode(F.array(F.lit("plain"), F.lit("pinned"), F.lit("turned"))).alias("kind")
     rows = items.join(vectors, "vec_id").select("id", "question", "embedding", F.col("doc_id").alias("label"), kinds)

@@ -5,13 +5,19 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OPEN: list[list[str]] = []  # tables of the scopes that are open, innermost last
+_MINE = threading.local()
+
+
+def _open() -> list[list[str]]:
+    """Tables of this thread's open scopes, innermost last; micro-batches run in a thread of their own."""
+    return _MINE.__dict__.setdefault("open", [])
 
 
 def is_local(spark: SparkSession) -> bool:
@@ -59,11 +65,11 @@ def scope(spark: SparkSession) -> Iterator[None]:
 
     Outside of a scope tables stay until the driver ends.
     """
-    _OPEN.append([])
+    _open().append([])
     try:
         yield
     finally:
-        for path in _OPEN.pop():
+        for path in _open().pop():
             delete(spark, path)
 
 
@@ -76,8 +82,8 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _OPEN:
-        _OPEN[-1].append(path)
+    if _open():
+        _open()[-1].append(path)
     else:
         atexit.register(_at_end, spark, path)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ import pytest
 from ledgerloom.plans import registry
 
 AT = "/root/testdata/sf0.001"
-SLOW = {"answers"}
+SLOW = {"answers", "quality_gate"}  # tests of their own
 
 
 def norm(v):

@@ -26,10 +26,10 @@ def test_tables_go_with_their_scope(spark):
         with storage.scope(spark):
             second = storage.settle(first, "second")
             assert second.count() == 3
-            inner = [Path(p.removeprefix("file:")) for p in storage._OPEN[-1]]
+            inner = [Path(p.removeprefix("file:")) for p in storage._open()[-1]]
             assert all(p.exists() for p in inner)
         assert not any(p.exists() for p in inner) and first.count() == 3
-        outer = [Path(p.removeprefix("file:")) for p in storage._OPEN[-1]]
+        outer = [Path(p.removeprefix("file:")) for p in storage._open()[-1]]
     assert not any(p.exists() for p in outer)
     kept = storage.settle(df, "kept")
     assert kept.count() == 3
