@@ -6,8 +6,12 @@ rows are inserted in batches, each searching the graph that is there, choosing n
 being entered in theirs.  Every vector descends the graph of its own shard, and of those whose centre is nearly as close,
 and the shards' answers are merged.  Nothing is compared with a whole shard.
 
-Vectors travel as 16-bit integers with one scale each (an error near 1e-5 of a similarity).  Vectors that are the same
-bit for bit answer each other: of more than ``k`` + 1 copies only the first k + 1 enter a graph.
+The more shards there are, the less a centre tells where a vector's neighbours are.  So an answer counts both ways, and vectors go
+on, in ``rounds``, to the shards that are home to their neighbours and to the neighbours of these, where they haven't been yet.
+The graphs are kept for that, a tenth of their vectors in size.
+
+Vectors travel as 16-bit integers with one scale each (an error near 1e-5 of a similarity).  Of vectors that are the same
+bit for bit the first enters a graph; the copies answer each other and take part in its answers.
 
 Bounds: the driver holds ``groups_on`` sampled vectors and one centre a shard, ``shards`` of them at most (50 MB).  Up to
 ``shard`` * ``shards`` = 1.3e8 vectors shards have some ``shard`` vectors; beyond that they grow, a graph's cost with n log n and
@@ -16,6 +20,7 @@ its memory with n, so that 4e9 vectors make shards of 60,000 (250 MB).
 
 from __future__ import annotations
 
+import io
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,7 +39,8 @@ class Graphs:
 
     Groups of centres are fitted on ``groups_on`` vectors, the centres of a group on ``points`` sampled ones each.  A vector visits
     the ``probes`` nearest shards whose centre is within ``margin`` of its own.  A row of a graph has ``degree`` neighbours that
-    it chose and as many that chose it; ``build`` and ``beam`` rows are followed on inserting and on asking.
+    it chose and as many that chose it; ``build`` and ``beam`` rows are followed on inserting and on asking.  In each of ``rounds`` a
+vector goes on to ``onward`` shards, those first that are home to most of its neighbours.
     """
 
     k: int = 5
@@ -50,6 +56,8 @@ class Graphs:
     beam: int = 32
     fan: int = 16
     batch: int = 512
+    rounds: int = 2
+    onward: int = 3
     resent: int = 200_000
 
 
@@ -96,8 +104,9 @@ def usable(df: DataFrame, row_id: str, item: str, vector: str, stamp: str, graph
     version = F.struct(F.coalesce("stamp", F.lit("")).alias("s"), F.col("same"), F.col("item"), F.col("copy"))
     last = settle(coded.groupBy("row_id").agg(F.max(version).alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").select("row_id", "last"), "resent")
     # few ids come again: while they are, their list goes to the codes, beyond that the codes are joined with it
-    side = F.broadcast(last) if last.count() <= graphs.resent else last
-    return coded.join(side, "row_id", "left").where(F.col("last").isNull() | (F.col("last") == version)).select("item", "code", "same")
+    few = last.count() <= graphs.resent
+    rows = coded.join(F.broadcast(last) if few else last, "row_id", "left").where(F.col("last").isNull() | (F.col("last") == version)).select("item", "code", "same")
+    return rows if few else settle(rows, "vectors")
 
 
 def centres(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -132,6 +141,24 @@ class Graph:
         for size in reversed(sizes):
             self.levels.append(self._level(size))
 
+    def kept(self, names: np.ndarray) -> bytes:
+        """The graph without its vectors, and the names of these in the order they were given in."""
+        out, small = io.BytesIO(), np.uint16 if len(self.x) < 65_535 else np.int32
+        np.savez(out, names=names, order=self.order.astype(np.int32), **{f"level{i}": (x + 1).astype(small) for i, x in enumerate(self.levels)})
+        return out.getvalue()
+
+    @classmethod
+    def again(cls, kept: bytes, names: np.ndarray, x: np.ndarray, graphs: Graphs) -> Graph | None:
+        """A graph that was kept, with its vectors; None if it is one of others."""
+        with np.load(io.BytesIO(kept)) as f:
+            if not np.array_equal(f["names"], names):
+                return None
+            graph = cls.__new__(cls)
+            graph.order = f["order"].astype(np.int64)
+            graph.x, graph.graphs = x[graph.order], graphs
+            graph.levels = [f[f"level{i}"].astype(np.int32) - 1 for i in range(len(f.files) - 2)]
+        return graph
+
     def _level(self, size: int) -> np.ndarray:
         g = self.graphs
         links, sims = np.full((size, 2 * g.degree), -1, np.int32), np.full((size, 2 * g.degree), -3, np.float32)
@@ -329,7 +356,7 @@ def fit_cells(vectors: DataFrame, n: int, graphs: Graphs) -> Cells:
 
 
 def _route(vectors: DataFrame, cells: Cells, graphs: Graphs) -> DataFrame:
-    """(shard, home, item, code): each vector in its own shard and as a visitor in those it may have neighbours in."""
+    """(shard, own, item, code): each vector in its own shard and as a visitor in those it may have neighbours in."""
     shared = vectors.sparkSession.sparkContext.broadcast(cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,41 +367,131 @@ def _route(vectors: DataFrame, cells: Cells, graphs: Graphs) -> DataFrame:
             if not b.num_rows:
                 continue
             cell, s = c.near(decode(_matrix(b.column(1), np.int16, graphs.dim)), graphs.probes)
+            item = b.column(0).to_numpy()
+            own = offset[cell[:, 0]] + item % c.parts[cell[:, 0]]
             row, rank = np.nonzero((s >= s[:, :1] - graphs.margin) & (s > -2))
             cell = cell[row, rank]
             copies = c.parts[cell]
-            item = b.column(0).to_numpy()
-            own = item[row] % copies
-            row2 = np.repeat(np.arange(len(row)), copies)
+            row2 = np.repeat(row, copies)
             part = np.arange(len(row2)) - np.repeat(np.cumsum(copies) - copies, copies)
-            home = (rank[row2] == 0) & (own[row2] == part)
-            take = pa.array(row[row2])
-            yield pa.RecordBatch.from_arrays([pa.array((offset[cell[row2]] + part).astype(np.int32)), pa.array(home), b.column(0).take(take), b.column(1).take(take)], names=["shard", "home", "item", "code"])
+            take = pa.array(row2)
+            yield pa.RecordBatch.from_arrays([pa.array((np.repeat(offset[cell], copies) + part).astype(np.int32)), pa.array(own[row2].astype(np.int32)), b.column(0).take(take), b.column(1).take(take)], names=["shard", "own", "item", "code"])
 
     # a task for each shard or so, however many bytes they have
-    return vectors.select("item", "code").mapInArrow(run, "shard int, home boolean, item long, code binary").repartitionById(int(cells.parts.sum()), F.col("shard"))
+    return vectors.select("item", "code").mapInArrow(run, "shard int, own int, item long, code binary").repartitionById(int(cells.parts.sum()), F.col("shard"))
+
+
+def _onward(vectors: DataFrame, wanted: DataFrame, kept: DataFrame, cells: Cells, graphs: Graphs) -> DataFrame | None:
+    """(shard, own, item, code): vectors in the further shards they want, with the vectors of these shards, and, where ``item`` is null, their graphs."""
+    busy = np.array(sorted(r[0] for r in wanted.select(F.explode("visits")).distinct().collect()), np.int32)
+    if not len(busy):
+        return None
+    spark = vectors.sparkSession
+    shared = spark.sparkContext.broadcast((cells, busy))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, busy = shared.value
+        c = Cells(c.groups, c.centre.astype(np.float32), c.first, c.parts)
+        offset = np.cumsum(c.parts) - c.parts
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cell = c.near(decode(_matrix(b.column(1), np.int16, graphs.dim)), graphs.probes)[0][:, 0]
+            own = offset[cell] + b.column(0).to_numpy() % c.parts[cell]
+            home = np.flatnonzero(np.isin(own, busy))
+            visits = pa.compute.list_flatten(b.column(2)).to_numpy(zero_copy_only=False).astype(np.int32)
+            guest = np.repeat(np.arange(b.num_rows), pa.compute.fill_null(pa.compute.list_value_length(b.column(2)), 0).to_numpy(zero_copy_only=False))
+            row = np.r_[home, guest]
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[own[home], visits].astype(np.int32)), pa.array(own[row].astype(np.int32)), b.column(0).take(take), b.column(1).take(take)], names=["shard", "own", "item", "code"])
+
+    rows = vectors.select("item", "code").join(wanted.hint("shuffle_hash"), "item", "left").select("item", "code", "visits")
+    rows = rows.mapInArrow(run, "shard int, own int, item long, code binary")
+    graph = kept.join(F.broadcast(wanted.select(F.explode("visits").alias("shard")).distinct()), "shard", "left_semi")
+    return rows.unionByName(graph.select("shard", F.lit(None).cast("int").alias("own"), F.lit(None).cast("long").alias("item"), F.col("graph").alias("code"))).repartitionById(int(cells.parts.sum()), F.col("shard"))
 
 
 def _answers(routed: DataFrame, graphs: Graphs) -> DataFrame:
-    """(item, other, similarity): the best of one shard for each of its vectors and visitors."""
+    """(item, other, similarity, own, at, graph): the best of one shard, ``at``, for each of its vectors and visitors, whose shard is ``own``.
+
+    A graph that is built here comes out as a row without an item; where one comes in, only visitors ask.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        shard, home = table.column("shard")[0].as_py(), table.column("home").to_numpy()
-        item = table.column("item").to_numpy()
-        codes = _matrix(table.column("code").combine_chunks(), np.int16, graphs.dim)
+        shard = table.column("shard")[0].as_py()
+        kept = table.filter(pa.compute.is_null(table.column("item"))).column("code").to_pylist()
+        table = table.filter(pa.compute.is_valid(table.column("item"))).combine_chunks()
+        item, own = table.column("item").to_numpy(), table.column("own").to_numpy()
+        home = own == shard
         order = np.lexsort((item, ~home))
-        item, home, x = item[order], home[order], decode(codes[order])
+        item, own, home = item[order], own[order], home[order]
+        x = decode(_matrix(table.column("code").combine_chunks(), np.int16, graphs.dim)[order]) if len(item) else np.zeros((0, graphs.dim), np.float32)
         n = int(home.sum())
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+        out, built = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.int32))], []
         if n:
-            graph = Graph(x[:n], graphs, np.random.default_rng(shard))
-            for who, (at, sims) in ((item[:n], graph.search(x[:n], np.arange(n))), (item[n:], graph.search(x[n:]))):
+            graph = Graph.again(kept[0], item[:n], x[:n], graphs) if kept else None
+            if graph is None:
+                graph = Graph(x[:n], graphs, np.random.default_rng(shard))
+            asked = [(n, graph.search(x[n:]))]
+            if not kept:
+                asked.append((0, graph.search(x[:n], np.arange(n))))
+                built.append(graph.kept(item[:n]))
+            for first, (at, sims) in asked:
                 r, c = np.nonzero(at >= 0)
-                out.append((who[r], item[at[r, c]], sims[r, c]))
-        a, b, s = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.table({"item": a, "other": b, "similarity": np.round(s.astype(np.float64), 6)})
-
-    return routed.groupBy("shard").applyInArrow(run, "item long, other long, similarity double")
+                out.append((item[first + r], item[at[r, c]], sims[r, c], own[first + r]))
+        a, b, s, o = (np.concatenate(x) for x in zip(*out, strict=True))
+        none = [None] * len(built)
+        return pa.table({
+            "item": pa.concat_arrays([pa.array(a), pa.array(none, pa.int64())]), "other": pa.concat_arrays([pa.array(b), pa.array(none, pa.int64())]),
+            "similarity": pa.concat_arrays([pa.array(np.round(s.astype(np.float64), 6)), pa.array(none, pa.float64())]), "own": pa.concat_arrays([pa.array(o.astype(np.int32)), pa.array(none, pa.int32())]),
+            "at": pa.array([shard] * (len(a) + len(built)), pa.int32()), "graph": pa.concat_arrays([pa.nulls(len(a), pa.binary()), pa.array(built, pa.binary())]),
+        })
+
+    return routed.groupBy("shard").applyInArrow(run, "item long, other long, similarity double, own int, at int, graph binary")
+
+
+def _best(answers: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best answers of every item; ties to the smaller other."""
+    rest = [c for c in answers.columns if c not in ("item", "other")]
+    once = answers.repartition("item").groupBy("item", "other").agg(*(F.max(c).alias(c) for c in rest))
+    return once.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("similarity"), "other"))).where(F.col("rank") <= k)
+
+
+def _both(answers: DataFrame, k: int) -> DataFrame:
+    """The best answers when each counts both ways."""
+    best = _best(answers, k).drop("rank")
+    back = best.select(F.col("other").alias("item"), F.col("item").alias("other"), "similarity", F.col("at").alias("own"), F.col("own").alias("at"))
+    return _best(best.unionByName(back), k).drop("rank")
+
+
+def _wanted(best: DataFrame, seen: DataFrame, graphs: Graphs) -> DataFrame:
+    """(item, visits): the shards that are home to neighbours, or to neighbours of these, and that the item hasn't seen."""
+    homes = best.groupBy("item").agg(F.collect_list("at").alias("homes"))
+    around = best.select("item", "other").join(homes.withColumnRenamed("item", "other"), "other").groupBy("item").agg(F.flatten(F.collect_list("homes")).alias("around"))
+    rows = homes.join(around, "item", "left").join(seen, "item", "left")
+    rows = rows.select("item", F.concat("homes", F.coalesce("around", F.array().cast("array<int>"))).alias("all"), F.coalesce("seen", F.array().cast("array<int>")).alias("seen"))
+    rows = rows.withColumn("new", F.array_except("all", "seen")).where(F.size("new") > 0)
+    ranked = F.sort_array(F.transform("new", lambda s: F.struct((-F.size(F.filter("all", lambda x: x == s))).alias("n"), s.alias("s"))))
+    return rows.select("item", F.slice(F.transform(ranked, lambda x: x["s"]), 1, graphs.onward).alias("visits"))
+
+
+def _search(vectors: DataFrame, cells: Cells, graphs: Graphs) -> DataFrame:
+    """(item, other, similarity): the best found by all the shards that a vector visits."""
+    found = settle(_answers(_route(vectors, cells, graphs), graphs), "found")
+    kept = found.where(F.col("graph").isNotNull()).select(F.col("at").alias("shard"), "graph")
+    answers = found.where(F.col("graph").isNull()).drop("graph")
+    if int(cells.parts.sum()) == 1:
+        return answers.select("item", "other", "similarity")
+    seen, best = answers.select("item", "at", "own"), settle(_both(answers, graphs.k), "best")
+    for _ in range(graphs.rounds):
+        been = seen.groupBy("item").agg(F.array_union(F.collect_set("at"), F.collect_set("own")).alias("seen"))
+        wanted = settle(_wanted(best, been, graphs), "wanted")
+        routed = _onward(vectors, wanted, kept, cells, graphs)
+        if routed is None:
+            break
+        more = settle(_answers(routed, graphs), "more").where(F.col("graph").isNull()).drop("graph")
+        seen, best = seen.unionByName(more.select("item", "at", "own")), settle(_both(best.unionByName(more), graphs.k), "best")
+    return best.select("item", "other", "similarity")
 
 
 def nearest(df: DataFrame, row_id: str, item: str, vector: str, stamp: str, graphs: Graphs = Graphs()) -> DataFrame:
@@ -383,18 +500,21 @@ def nearest(df: DataFrame, row_id: str, item: str, vector: str, stamp: str, grap
     Unusable vectors (see ``usable``) neither ask nor answer; fewer than k + 1 vectors give what there is.
     """
     k = graphs.k
-    vectors = settle(usable(df, row_id, item, vector, stamp, graphs), "vectors")
+    vectors = usable(df, row_id, item, vector, stamp, graphs)
     n = vectors.count()
     cells = fit_cells(vectors, n, graphs)
-    # copies beyond the first k + 1 of a vector are answered by these
-    crowds = vectors.groupBy("same").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > k + 1).select("same")
-    ranked = vectors.select("item", "same").join(crowds, "same").withColumn("r", F.row_number().over(Window.partitionBy("same").orderBy("item"))).where(F.col("r") <= k + 1)
-    first = settle(ranked.select("item", "same", "r"), "crowds")
-    best = Window.partitionBy("item").orderBy(F.desc("similarity"), "other")
-    if first.isEmpty():
-        answers = _answers(_route(vectors, cells, graphs), graphs).where("item != other")
+    # of copies, the first stands for all of them
+    crowds = vectors.groupBy("same").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    order = Window.partitionBy("same").orderBy("item")
+    copies = settle(vectors.select("item", "same").join(crowds, "same").withColumn("r", F.row_number().over(order)).withColumn("lead", F.first("item").over(order)), "copies")
+    if copies.isEmpty():
+        answers = _search(vectors, cells, graphs)
     else:
-        crowded = vectors.select("item", "same").join(first.select(F.col("item").alias("other"), "same"), "same").where("item != other").select("item", "other", F.lit(1.0).alias("similarity"))
-        alone = vectors.join(crowds, "same", "left_anti").select("item", "code").unionByName(vectors.join(first.select("item"), "item", "left_semi").select("item", "code"))
-        answers = _answers(_route(alone, cells, graphs), graphs).where("item != other").unionByName(crowded).dropDuplicates(["item", "other"])
-    return answers.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        answers = _search(vectors.join(copies.where("r > 1").select("item"), "item", "left_anti"), cells, graphs)
+        first, few = copies.where(F.col("r") <= k + 1), copies.where(F.col("n") <= k)
+        answers = answers.join(copies.where(F.col("n") > k).select(F.col("lead").alias("item")).distinct(), "item", "left_anti")  # their copies are answer enough
+        answers = answers.join(first.select(F.col("lead").alias("other"), F.col("item").alias("as_other")), "other", "left").join(few.select(F.col("lead").alias("item"), F.col("item").alias("as_item")), "item", "left")
+        answers = answers.select(F.coalesce("as_item", "item").alias("item"), F.coalesce("as_other", "other").alias("other"), "similarity")
+        within = copies.select("item", "same").join(first.select(F.col("item").alias("other"), "same"), "same").where("item != other").select("item", "other", F.lit(1.0).alias("similarity"))
+        answers = answers.unionByName(within)
+    return _best(answers.where("item != other"), k)
